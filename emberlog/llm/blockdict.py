@@ -1,17 +1,19 @@
 """Block dictionaries: texts as numbers into a dictionary for each block of documents.
 
-A block holds some tens of MB of text. Its distinct pre-tokens leave it as rows, are valued once
-each over the whole corpus after a shuffle by pre-token, and come back to their block, whose
-documents wait there as arrays of numbers. A pre-token thus moves once for each block, not for each
-occurrence, and a frequent one is no hot key: it has as many rows as there are blocks.
+A block holds some tens of MB of text. Its distinct pre-tokens leave it in buckets by hash, meet those
+of the other blocks there, are valued once each over the whole corpus, and come back to their block,
+whose documents wait there as arrays of numbers. A pre-token thus moves once for each block, not for
+each occurrence, and a frequent one is no hot key: every block sends it once.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 from . import common, pretokens
 
 #: Bytes of text after which a block is closed; a longer single text is a block of its own.
-BLOCK_BYTES = 24 << 20
-ENCODED = "block long, no int, key string, body binary"
-_ENCODED = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("key", pa.string()), ("body", pa.binary())])
+BLOCK_BYTES = 32 << 20
+ENCODED = "block long, bucket int, entries binary, body binary"
+_ENCODED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("entries", pa.binary()), ("body", pa.binary())])
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -65,11 +67,31 @@ def number_pretokens(texts: pa.Array, find: Callable[[str], list[str]]) -> tuple
     return [keys[i] for i in order.tolist()], rank[tokens], begins
 
 
+def _as_bytes(items: list[bytes]) -> dict[str, np.ndarray]:
+    return {"sizes": smallest(np.fromiter(map(len, items), np.int64, len(items))), "bytes": np.frombuffer(b"".join(items), np.uint8)}
+
+
+def _as_list(arrays: dict[str, np.ndarray]) -> list[bytes]:
+    raw, ends = arrays["bytes"].tobytes(), np.cumsum(arrays["sizes"], dtype=np.int64).tolist()
+    return [raw[a:e] for a, e in zip([0, *ends], ends)]
+
+
+def _buckets(keys: list[str], count: int) -> Iterator[tuple[int, bytes]]:
+    """The keys, sorted so that they compress well, and their numbers, in buckets by hash."""
+    raw = [k.encode() for k in keys]
+    of = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % count
+    order = pc.sort_indices(pa.table({"of": of, "key": pa.array(raw, pa.binary())}), [("of", "ascending"), ("key", "ascending")]).to_numpy()
+    of = of[order]
+    for part in np.split(order, np.flatnonzero(np.diff(of)) + 1) if len(order) else ():
+        yield zlib.crc32(raw[part[0]]) % count, pack(no=smallest(part), **_as_bytes([raw[i] for i in part.tolist()]))
+
+
 def encode_blocks(docs: DataFrame, find: Callable[[], Callable[[str], list[str]]], body: Callable[..., bytes]) -> DataFrame:
-    """Rows of dictionaries (block, no, key) and one row (block, body) for each block, stored in the shared folder.
+    """Rows of dictionaries (block, bucket, entries) and one row (block, body) for each block, stored in the shared folder.
 
     find() gives, on a worker, the function that finds the pre-tokens of a text; body(doc_ids, texts, tokens, begins) what stays of a block."""
     common.bounded_batches(docs.sparkSession)
+    count = 4 * common.parallelism(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -80,12 +102,10 @@ def encode_blocks(docs: DataFrame, find: Callable[[], Callable[[str], list[str]]
             t = pa.Table.from_batches(held).combine_chunks()
             ids, texts = t.column("doc_id").combine_chunks(), t.column("text").combine_chunks()
             keys, tokens, begins = number_pretokens(texts, finder)
-            at = np.argsort(np.asarray(keys, object), kind="stable") if keys else np.zeros(0, np.int64)
-            for i in range(0, len(at), 50_000):
-                some = at[i : i + 50_000]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part << 24 | made)), pa.array(some.astype(np.int32)), pa.array([keys[j] for j in some], pa.string()), pa.nulls(n, pa.binary())], schema=_ENCODED)
-            yield pa.RecordBatch.from_arrays([pa.array([part << 24 | made]), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([body(ids, texts, tokens, begins)], pa.binary())], schema=_ENCODED)
+            no = part << 24 | made
+            yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([body(ids, texts, tokens, begins)], pa.binary())], schema=_ENCODED)
+            for bucket, entries in _buckets(keys, count):
+                yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([bucket], pa.int32()), pa.array([entries], pa.binary()), pa.nulls(1, pa.binary())], schema=_ENCODED)
 
         for b in batches:
             if b.num_rows:
@@ -101,35 +121,35 @@ def encode_blocks(docs: DataFrame, find: Callable[[], Callable[[str], list[str]]
 
 
 def valued(encoded: DataFrame, value: Callable[[], Callable[[list[str]], list[bytes]]]) -> DataFrame:
-    """(block, no, value) of every dictionary row; each distinct key is valued once, in the one partition that has it."""
-    out = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("value", pa.binary())])
+    """(block, entries) with the values of a bucket's keys for each block; each distinct key is valued once."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, last_key, last_value = value(), None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            coded = b.column("key").dictionary_encode()  # sorted: equal keys are neighbours
-            keys = coded.dictionary.to_pylist()
-            again = keys[0] == last_key
-            values = ([last_value] if again else []) + of(keys[1:] if again else keys)
-            last_key, last_value = keys[-1], values[-1]
-            got = pa.DictionaryArray.from_arrays(coded.indices, pa.array(values, pa.binary())).dictionary_decode()
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("no"), got], schema=out)
+    def one(table: pa.Table) -> pa.Table:
+        numbers, each = pretokens.Numbering(), []
+        for data in table.column("entries").to_pylist():
+            arrays = unpack(data)
+            each.append((arrays["no"], [numbers[k] for k in _as_list(arrays)]))
+        values = value()([k.decode() for k in numbers])
+        packed = [pack(no=no, **_as_bytes([values[i] for i in of])) for no, of in each]
+        return pa.table({"block": table.column("block"), "entries": pa.array(packed, pa.binary())})
 
-    keys = encoded.where("no >= 0").select("key", "block", "no")
-    n = common.parallelism(encoded.sparkSession)
-    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(rows, "block long, no int, value binary")
+    return encoded.where("bucket >= 0").select("bucket", "block", "entries").groupBy("bucket").applyInArrow(one, "block long, entries binary")
 
 
 def joined(encoded: DataFrame, values: DataFrame, finish: Callable[[dict, list], pa.Table], schema: str) -> DataFrame:
     """finish(body, values by number) of every block, as rows of ``schema``."""
 
     def one(table: pa.Table) -> pa.Table:
-        no = table.column("no").to_numpy()
-        order = np.argsort(no, kind="stable")
-        body = table.column("body")[int(order[0])].as_py()
-        return finish(unpack(body), table.column("value").take(pa.array(order[1:])))
-
-    blocks = encoded.where("no < 0").select("block", "no", F.lit(None).cast("binary").alias("value"), "body")
+        body, parts = None, []
+        for data, entries in zip(table.column("body").to_pylist(), table.column("entries").to_pylist()):
+            if data is not None:
+                body = unpack(data)
+            else:
+                parts.append(unpack(entries))
+        by_number: list = [b""] * sum(len(p["no"]) for p in parts)
+        for p in parts:
+            for no, v in zip(p["no"].tolist(), _as_list(p)):
+                by_number[no] = v
+        return finish(body, by_number)
+
+    blocks = encoded.where("bucket < 0").select("block", "entries", "body")
     return values.withColumn("body", F.lit(None).cast("binary")).unionByName(blocks).groupBy("block").applyInArrow(one, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from . import blockdict, common
 from .token_counts import _finder
 
+_BPE: dict = {}
 ENCODING = "doc_id long, ids binary"
 
 
@@ -21,13 +22,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _bpe(path: str):
+    """The merges of the ranks at ``path``, loaded once by a worker process."""
+    if path not in _BPE:
+        import public_tokenizers
+        import tiktoken
+
+        _BPE[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    return _BPE[path]
+
+
 def _positions(ids, texts, tokens, begins) -> bytes:
     return blockdict.pack(null=np.asarray(ids.is_null()).astype(np.uint8), ids=np.asarray(ids.fill_null(0)), n=np.diff(begins).astype(np.int64), tokens=blockdict.smallest(tokens))
 
 
-def _reassembled(body: dict, values: pa.ChunkedArray) -> tuple[pa.Array, list[bytes]]:
+def _reassembled(body: dict, values: list) -> tuple[pa.Array, list[bytes]]:
     """doc_id and the ids, as bytes, of each document of a block."""
-    get = values.to_pylist().__getitem__
+    get = values.__getitem__
     ends = np.cumsum(body["n"])
     each = [b"".join(map(get, body["tokens"][e - n : e].tolist())) for e, n in zip(ends.tolist(), body["n"].tolist())]
     return pa.array(body["ids"], mask=body["null"].astype(bool)), each
@@ -37,10 +48,7 @@ def _encoded(docs: DataFrame, ranks_path: str):
     """The blocks and the ids of each word of their dictionaries; every distinct word is encoded once."""
 
     def value():
-        import public_tokenizers
-        import tiktoken
-
-        bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+        bpe = _bpe(ranks_path)
         return lambda words: [np.asarray(bpe._encode_single_piece(w.encode()), "<u4").tobytes() for w in words]
 
     encoded = blockdict.encode_blocks(docs, lambda: _finder(()), _positions)

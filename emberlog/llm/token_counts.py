@@ -11,6 +11,19 @@ from pyspark.sql import DataFrame
 from . import blockdict, common
 
 
+_LOADED: dict = {}
+
+
+def _tokenizer(path: str):
+    """The tokenizer at ``path``, loaded once by a worker process."""
+    if path not in _LOADED:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        _LOADED[path] = Tokenizer.from_file(path)
+    return _LOADED[path]
+
+
 def _finder(special: tuple[str, ...]):
     """Pre-tokens of a text for byte-level BPE; the tokenizer's special strings are pre-tokens of their own."""
     import public_tokenizers
@@ -39,8 +52,8 @@ def _frequencies(ids, texts, tokens, begins) -> bytes:
 
 
 def _sums(limit: int):
-    def finish(body: dict, values: pa.ChunkedArray) -> pa.Table:
-        pieces = np.frombuffer(b"".join(values.to_pylist()), "<u4").astype(np.int64)
+    def finish(body: dict, values: list) -> pa.Table:
+        pieces = np.frombuffer(b"".join(values), "<u4").astype(np.int64)
         each = pieces[body["tokens"]] * body["n"].astype(np.int64) if len(body["tokens"]) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(each)])
         ends = np.cumsum(body["distinct"])
@@ -57,10 +70,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, special: tu
     are not read; an empty table gives no rows. A very long text is a block of its own."""
 
     def value():
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
+        tok = _tokenizer(tokenizer)
 
         def pieces(keys: list[str]) -> list[bytes]:
             out: list[bytes] = []
