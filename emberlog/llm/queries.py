@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, direct_codes, packing, token_counts
+from . import byte_bpe, direct_codes, lsh_forest, packing, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_direct_codes": direct_codes.op3_direct_codes,
     "op5_packing": packing.op5_packing,
+    "op6_near_duplicates": lsh_forest.op6_near_duplicates,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 #: None of these can be written in SQL (tokenizers, trained models, exact Jaccard graphs, sketches); tests hold them against brute force.
