@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, direct_codes, lsh_forest, packing, token_counts
+from . import byte_bpe, direct_codes, lsh_forest, packing, token_counts, toxicity
 
 QUERIES = {
+    "op10_toxicity": toxicity.op10_toxicity,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_direct_codes": direct_codes.op3_direct_codes,
     "op5_packing": packing.op5_packing,
