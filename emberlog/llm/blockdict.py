@@ -71,7 +71,7 @@ def _as_bytes(items: list[bytes]) -> dict[str, np.ndarray]:
     return {"sizes": smallest(np.fromiter(map(len, items), np.int64, len(items))), "bytes": np.frombuffer(b"".join(items), np.uint8)}
 
 
-def _as_list(arrays: dict[str, np.ndarray]) -> list[bytes]:
+def as_list(arrays: dict[str, np.ndarray]) -> list[bytes]:
     raw, ends = arrays["bytes"].tobytes(), np.cumsum(arrays["sizes"], dtype=np.int64).tolist()
     return [raw[a:e] for a, e in zip([0, *ends], ends)]
 
@@ -127,7 +127,7 @@ def valued(encoded: DataFrame, value: Callable[[], Callable[[list[str]], list[by
         numbers, each = pretokens.Numbering(), []
         for data in table.column("entries").to_pylist():
             arrays = unpack(data)
-            each.append((arrays["no"], [numbers[k] for k in _as_list(arrays)]))
+            each.append((arrays["no"], [numbers[k] for k in as_list(arrays)]))
         values = value()([k.decode() for k in numbers])
         packed = [pack(no=no, **_as_bytes([values[i] for i in of])) for no, of in each]
         return pa.table({"block": table.column("block"), "entries": pa.array(packed, pa.binary())})
@@ -147,7 +147,7 @@ def joined(encoded: DataFrame, values: DataFrame, finish: Callable[[dict, list],
                 parts.append(unpack(entries))
         by_number: list = [b""] * sum(len(p["no"]) for p in parts)
         for p in parts:
-            for no, v in zip(p["no"].tolist(), _as_list(p)):
+            for no, v in zip(p["no"].tolist(), as_list(p)):
                 by_number[no] = v
         return finish(body, by_number)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, direct_codes, lsh_forest, packing, token_counts, toxicity
+from . import byte_bpe, direct_codes, lsh_forest, packing, quality, token_counts, toxicity
 
 QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_direct_codes": direct_codes.op3_direct_codes,
+    "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_near_duplicates": lsh_forest.op6_near_duplicates,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,12 @@ def _finder(special: tuple[str, ...]):
     return found
 
 
-def _frequencies(ids, texts, tokens, begins) -> bytes:
+def frequencies(ids, texts, tokens, begins) -> bytes:
     each = [np.unique(tokens[a:b], return_counts=True) for a, b in zip(begins, begins[1:])]
     join = lambda k: np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.int64)
+    raw = [t.encode() for t in texts.to_pylist()]
     return blockdict.pack(
-        null=np.asarray(ids.is_null()).astype(np.uint8), ids=np.asarray(ids.fill_null(0)), n_bytes=np.asarray([len(t.encode()) for t in texts.to_pylist()], np.int64),
+        null=np.asarray(ids.is_null()).astype(np.uint8), ids=np.asarray(ids.fill_null(0)), n_bytes=np.asarray([*map(len, raw)], np.int64), crc32=np.asarray([*map(zlib.crc32, raw)], np.int64),
         distinct=np.asarray([len(x[0]) for x in each], np.int64), tokens=blockdict.smallest(join(0)), n=blockdict.smallest(join(1)),
     )
 
@@ -80,7 +82,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, special: tu
 
         return pieces
 
-    encoded = blockdict.encode_blocks(docs, lambda: _finder(special), _frequencies)
+    encoded = blockdict.encode_blocks(docs, lambda: _finder(special), frequencies)
     return blockdict.joined(encoded, blockdict.valued(encoded, value), _sums(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
