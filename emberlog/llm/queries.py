@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, direct_codes, lsh_forest, packing, quality, token_counts, toxicity
+from . import byte_bpe, direct_codes, line_templates, lsh_forest, packing, quality, token_counts, toxicity
 
 QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
+    "op1_line_templates": line_templates.op1_line_templates,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_direct_codes": direct_codes.op3_direct_codes,
     "op4_quality": quality.op4_quality,
