@@ -98,13 +98,14 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(b.column("text").to_pylist(), width)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array(np.arange(made, made + n) + (part << 33)), pa.array([len(s) for s in sets], pa.int64()),
+                b.column("doc_id"), b.column("text_hash"), pa.array(np.arange(made, made + n) + (part << 33)), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-            ], names=["doc_id", "uid", "n_shingles", "digest", "signature"])
+            ], names=["doc_id", "text_hash", "uid", "n_shingles", "digest", "signature"])
             made += n
 
-    return common.stored(common.id_text(docs).mapInArrow(rows, "doc_id long, uid long, n_shingles long, digest binary, signature binary"))
+    keyed = common.id_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    return common.stored(keyed.mapInArrow(rows, "doc_id long, text_hash long, uid long, n_shingles long, digest binary, signature binary"))
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -190,7 +191,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document.
+    """doc_id, text_hash (xxhash64), n_shingles, component_id and kept of each document.
 
     Documents with 100 * intersection >= similarity * union of their sets of ``width``-word shingles are linked;
     component_id is the least doc_id reachable. A null, empty or wordless text has no shingles and is linked with nothing.
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     keyed = signed.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(64)))
     out = keyed.join(spread, ["digest", "salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _sets(docs: DataFrame, signed: DataFrame, needed: DataFrame, width: int) -> DataFrame:
@@ -248,5 +249,11 @@ def _sets(docs: DataFrame, signed: DataFrame, needed: DataFrame, width: int) ->
     return common.stored(got.dropDuplicates(["rep"]))
 
 
+def keep_one(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with their columns: of each component, those of the least doc_id."""
+    gone = near_duplicates(docs, width, similarity).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("gone_hash")), "left_anti")
+
+
 def op6_near_duplicates(spark, sf_dir) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"), width=4)
+    return near_duplicates(common.table(spark, sf_dir, "documents"), width=4).drop("text_hash")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, direct_codes, line_templates, lsh_forest, packing, progressive_jpeg, quality, token_counts, toxicity
+from . import byte_bpe, direct_codes, line_templates, lsh_forest, packing, paragraph_sketch, progressive_jpeg, quality, token_counts, toxicity
 
 QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_near_duplicates": lsh_forest.op6_near_duplicates,
+    "op7_paragraph_sketch": paragraph_sketch.op7_paragraph_sketch,
     "op8_progressive_jpeg": progressive_jpeg.op8_progressive_jpeg,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }

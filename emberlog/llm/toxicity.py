@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -264,7 +265,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     common.bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by WORDS and RUNS
     plain = docs.drop("score")
-    schema = plain.schema.add("score", "double")
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
