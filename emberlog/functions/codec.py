@@ -52,7 +52,11 @@ def murmur3_128(data: bytes) -> tuple[int, int]:
     return h[0], (h[1] + h[0]) & _MASK
 
 
-@F.pandas_udf("string")
-def murmur3_hex(s: pd.Series) -> pd.Series:
+def murmur3_hex(text: Column) -> Column:
     """Both halves in hexadecimal, for tests against other implementations; not used by the filters."""
-    return s.map(lambda x: None if x is None else "%016x%016x" % murmur3_128(x.encode()))
+
+    @F.pandas_udf("string")
+    def hexed(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else "%016x%016x" % murmur3_128(x.encode()))
+
+    return hexed(text)
