@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Leading tokens of a leaf, documents that make a template recur, tokens that a line needs, share of them that must be constant.
-DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT = 3, 4, 3, 0.75
+DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT = 3, 4, 3, 0.6
 #: Bits of the filter that lets lines of rare leaves through only by chance; its size never changes.
 FILTER_BITS = 1 << 22
 FIELD = "<*>"
