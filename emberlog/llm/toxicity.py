@@ -23,7 +23,7 @@ from . import common
 WINDOW, STRIDE, HIDDEN, ATTENTION = 64, 48, 8, 8
 #: The labelled sample: at most so many rows of each label, those of the least hash of doc_id. Words and runs of bytes kept.
 SAMPLE_OF_LABEL, WORDS, RUNS, LEAST_SEEN = 1500, 20_000, 60_000, 4
-RUN, INPUTS, EPOCHS, RATE = 5, 7, 5, 0.02
+RUN, INPUTS, EPOCHS, UPDATES, RATE = 5, 7, 5, 200, 0.02
 _EDGE = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), 0xA1, 0xAB, 0xBB, 0xBF, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026]))
 
 
@@ -217,8 +217,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     by_text = [np.flatnonzero(of == i) for i in range(len(texts))]
     rng, moment, second, step = np.random.default_rng(11), {}, {}, 0
     with_words = np.asarray([i for i, w in enumerate(by_text) if len(w)])
-    for epoch in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(with_words), max(1, len(with_words) // 64)):
+    batches = max(1, len(with_words) // 64)
+    epochs = max(EPOCHS, -(-UPDATES // batches))  # a small sample needs more rounds for as many updates
+    for epoch in range(epochs):
+        for batch in np.array_split(rng.permutation(with_words), batches):
             own = np.concatenate([by_text[i] for i in batch])
             logits = model.window_logits(x, codes, first[own], size[own])
             worst, at = [], 0
@@ -236,7 +238,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             weight = np.where(target == 1, min(4.0, n0 / max(n1, 1)), 1.0) / len(batch)
             grads = net.gradients(inputs, mask, cache, ((_sigmoid(logit) - target) * weight).astype(np.float32))
             step += 1
-            rate = RATE * (1 - 0.8 * epoch / EPOCHS)
+            rate = RATE * (1 - 0.8 * epoch / epochs)
             for k, g in grads.items():
                 g = np.clip(g, -1, 1)
                 moment[k] = 0.9 * moment.get(k, 0) + 0.1 * g
