@@ -76,7 +76,8 @@ def flat_gather(starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> n
     if not total:
         return np.zeros(0, np.int64)
     ends = np.cumsum(n)
-    return np.arange(total) + np.repeat(starts[codes] - (ends - n), n)
+    kind = np.int32 if max(total, int(starts[-1] + lengths[-1])) < 1 << 31 else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((starts[codes] - (ends - n)).astype(kind), n)
 
 
 def expanded(lengths: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
