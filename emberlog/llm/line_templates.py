@@ -23,7 +23,7 @@ DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT = 3, 4, 3, 0.6
 #: Bits of the filter that lets lines of rare leaves through only by chance; its size never changes.
 FILTER_BITS = 1 << 22
 FIELD = "<*>"
-_DIGITS = re.compile(r"\S*\d\S*")
+_DIGITS = re.compile(r"\d")
 
 
 def masked(line: str) -> list[str]:
