@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that a Python worker gets at once; bounds worker memory for long texts.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Keys that a join deals over several tasks, at most, and over how many.
+HOT_KEYS, SALTS = 1000, 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,23 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, salt_by: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has a row for each key and, in ``weight``, how many rows of ``big`` have it.
+
+    Keys of more than a HOT_KEYS-th of the weight, so fewer than HOT_KEYS of them, are dealt over SALTS tasks by a
+    hash of ``salt_by``; their rows of ``small`` go to each of these. So are keys that are null, which match nothing."""
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_KEYS > F.lit(total)
+    marks = small.where(hot).select(*on, F.lit(True).alias("_hot"))  # fewer than HOT_KEYS rows
+    dealt = big.join(F.broadcast(marks), on, "left")
+    spread = F.col("_hot").isNotNull()
+    for c in on:
+        spread = spread | F.col(c).isNull()
+    dealt = dealt.withColumn("_salt", F.when(spread, F.pmod(F.xxhash64(*salt_by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0)))).drop(weight)
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -95,18 +95,19 @@ def dropped_lines(docs: DataFrame, min_docs: int | None = None) -> DataFrame:
     lines = _lines(keyed, _rare_filter(keyed, min_docs))
     distinct = common.stored(lines.groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     tokens = distinct.select("leaf", "line", "docs", F.posexplode(F.split("tokens", " ")).alias("place", "token"))
-    support = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n").withColumn("constant", F.lit(True))
-    marked = tokens.join(support, ["leaf", "place", "token"], "left")
+    support = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("rows")).where(F.col("n") >= min_docs).drop("n").withColumn("constant", F.lit(True))
+    marked = common.spread_join(tokens, common.stored(support), ["leaf", "place", "token"], "rows", ["line"], "left")
     shown = F.struct("place", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("token"))
     template = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["token"]), " ")
     enough = F.avg(F.when(F.col("constant") & (F.col("token") != FIELD), 1.0).otherwise(0.0)) >= CONSTANT
-    templates = marked.groupBy("leaf", "line").agg(template.alias("template"), enough.alias("enough")).where("enough").select("line", F.xxhash64("leaf", "template").alias("template"))
+    templates = marked.groupBy("leaf", "line").agg(template.alias("template"), enough.alias("enough"), F.max("docs").alias("docs")).where("enough").select("line", F.xxhash64("leaf", "template").alias("template"), "docs")
     templates = common.stored(templates)
-    found = common.stored(lines.select("doc_id", "text_hash", "line", "places").join(templates, "line").select("doc_id", "text_hash", "template", "places"))
-    each = found.groupBy("template", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
+    document = ["doc_id", "text_hash"]
+    found = common.stored(common.spread_join(lines.select(*document, "line", "places"), templates, ["line"], "docs", document).select(*document, "template", "places"))
+    each = found.groupBy("template", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("lines"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    recurring = each.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(key).alias("first")).where(F.col("docs") >= min_docs).select("template", "first")
-    gone = found.join(recurring, "template").where(key != F.col("first"))
+    recurring = each.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.sum("lines").alias("lines"), F.min(key).alias("first")).where(F.col("docs") >= min_docs).drop("docs")
+    gone = common.spread_join(found, common.stored(recurring), ["template"], "lines", [*document, "places"]).where(key != F.col("first"))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("drop"))
 
 
