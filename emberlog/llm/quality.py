@@ -227,11 +227,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     joined = scores.join(langs, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_crc32") == F.col("crc")), "left").drop("id", "crc")
     surprise = F.when(F.col("n_grams") > 0, -F.col("log_p") / F.col("n_grams"))
     joined = common.stored(joined.withColumn("surprise", surprise))
-    limit = lambda *by: joined.where("trusted and surprise is not null").groupBy(*by).agg(F.percentile_approx("surprise", [MIDDLE, HIGH], 10_000).alias("q"))
+    trusted_surprise = F.when(F.col("trusted"), F.col("surprise"))
+    quantiles = F.percentile_approx(trusted_surprise, [MIDDLE, HIGH], 10_000).alias("q")
     most = lambda c: F.col(c)[1] + F.lit(MARGIN) * (F.col(c)[1] - F.col(c)[0])
-    by_lang = limit("lang").where("lang is not null").select("lang", most("q").alias("own"))
-    overall = limit().select(most("q").alias("any"))
-    out = joined.join(by_lang, "lang", "left").crossJoin(F.broadcast(overall))  # one row
+    by_lang = common.stored(joined.where("lang is not null").groupBy("lang").agg(quantiles, F.count(F.lit(1)).alias("rows")).select("lang", most("q").alias("own"), "rows"))
+    overall = joined.agg(quantiles).select(most("q").alias("any"))
+    out = common.spread_join(joined, by_lang, ["lang"], "rows", ["doc_id", "text_crc32"], "left").crossJoin(F.broadcast(overall))  # one row
     threshold = F.coalesce("own", "any")
     return out.select("doc_id", "n_bytes", "text_crc32", "lang", F.exp("surprise").alias("perplexity"), F.exp(threshold).alias("threshold"), F.coalesce(F.col("surprise") <= threshold, F.lit(True)).alias("kept"))
 
