@@ -87,33 +87,85 @@ def expanded(lengths: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tup
     return flat_gather(starts, lengths, codes), ends[offsets]
 
 
-class UnitCache:
-    """Ids of texts by a tokenizer that sees each distinct unit once, but for a bounded memory."""
+def numbered_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As numbered_units, cut at ASCII white space: for tokenizers that drop white space."""
+    split = pc.ascii_split_whitespace(texts)
+    offsets = np.asarray(split.offsets).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int32), offsets - offsets[0]
 
-    def __init__(self, encode_batch, dtype, most=1_000_000):
-        self.encode_batch, self.dtype, self.most, self.known = encode_batch, dtype, most, {}
+
+class UnitCache:
+    """Ids of texts by a tokenizer that sees each distinct unit once, but for a bounded memory.
+
+    New units go to the tokenizer JOINED at a time. Where it keeps white space, a unit's ids begin at the one
+    token that begins with a space; where it drops it, a mark stands between units. A joined text whose
+    beginnings or marks aren't as many as its units is encoded unit by unit."""
+
+    #: Units in a joined text; joined texts in a call; the mark between units, which must give one id.
+    JOINED, TEXTS, MARK = 256, 80, "~"
+
+    def __init__(self, tokenizer, dtype, most=1_000_000):
+        self.tokenizer, self.dtype, self.most, self.known = tokenizer, np.dtype(dtype), most, {}
+        self.drops = not self._encode([" \n\t"])[0]
+        self.mark = self._encode([self.MARK])[0]
+        self.opens = np.zeros(tokenizer.get_vocab_size(), bool)
+        if not self.drops:
+            self.opens[[n for t, n in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joinable(self, unit: str) -> bool:
+        return len(self.mark) == 1 if self.drops else bool(unit) and " " not in unit and unit[0] != FIRST and unit.strip() == unit
+
+    def _bounds(self, ids: np.ndarray, n: int) -> tuple[list[int], list[int]] | None:
+        """Where each of n joined units begins and ends, if that shows."""
+        if self.drops:
+            at = np.flatnonzero(ids == self.mark[0])
+            return ([0, *(at + 1).tolist()], [*at.tolist(), len(ids)]) if len(at) == n - 1 else None
+        at = np.flatnonzero(self.opens[ids])
+        return (at.tolist(), [*at[1:].tolist(), len(ids)]) if len(at) == n and at[0] == 0 else None
+
+    def _learn(self, fresh: list[str]) -> None:
+        width, between = self.dtype.itemsize, f" {self.MARK} " if self.drops else " "
+        joinable = [*map(self._joinable, fresh)]
+        alone = [u for u, j in zip(fresh, joinable) if not j]
+        units = [u for u, j in zip(fresh, joinable) if j]
+        groups = [units[i : i + self.JOINED] for i in range(0, len(units), self.JOINED)]
+        for i in range(0, len(groups), self.TEXTS):
+            some = groups[i : i + self.TEXTS]
+            for group, ids in zip(some, self._encode([" " + between.join(g) for g in some])):
+                ids = np.array(ids, self.dtype)
+                bounds = self._bounds(ids, len(group))
+                if bounds is None:
+                    alone += group
+                    continue
+                raw = ids.tobytes()
+                self.known.update((u, raw[a * width : e * width]) for u, a, e in zip(group, *bounds))
+        for i in range(0, len(alone), 20_000):
+            part = alone[i : i + 20_000]
+            self.known.update((u, np.asarray(ids, self.dtype).tobytes()) for u, ids in zip(part, self._encode([*map(surface, part)])))
 
     def _ids(self, units: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known = {}
         known = self.known
-        fresh = [u for u in units if u not in known]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for u, e in zip(part, self.encode_batch([surface(u) for u in part])):
-                known[u] = np.asarray(e, self.dtype).tobytes()
+        self._learn([u for u in units if u not in known])
         return [known[u] for u in units]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text begins among these."""
-        units, codes, offsets = numbered_units(texts)
+        units, codes, offsets = (numbered_words if self.drops else numbered_units)(texts)
         # numbers that only texts cut anew had are not used any more
         used = np.flatnonzero(np.bincount(codes, minlength=len(units)))
-        renumber = np.zeros(len(units), np.int32)
-        renumber[used] = np.arange(len(used))
-        ids = self._ids([units[i] for i in used.tolist()])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
-        places, begins = expanded(lengths, renumber[codes], offsets)
+        if len(used) < len(units):
+            renumber = np.zeros(len(units), np.int32)
+            renumber[used] = np.arange(len(used))
+            units, codes = [units[i] for i in used.tolist()], renumber[codes]
+        ids = self._ids(units)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        places, begins = expanded(lengths, codes, offsets)
         return np.frombuffer(b"".join(ids), self.dtype)[places], begins
 
 
@@ -126,6 +178,5 @@ def unit_cache(path: str, dtype="<u4") -> UnitCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        _LOADED[path, dtype] = UnitCache(lambda b: (e.ids for e in tok.encode_batch_fast(b, add_special_tokens=False)), dtype)
+        _LOADED[path, dtype] = UnitCache(Tokenizer.from_file(path), dtype)
     return _LOADED[path, dtype]
