@@ -28,18 +28,19 @@ from . import common, pretokens
 WIDTHS = (8, 8, 16)
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
-SEGMENTS = "part int, segment int, n_ids long, doc_ids array<bigint>, ends array<bigint>, data binary"
-_SCHEMA = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("data", pa.binary())])
+SEGMENTS = "part int, inner long, n_ids long, doc_ids array<bigint>, ends array<bigint>, data binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("inner", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
 def compress(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
     """Ids (unsigned, below 2 ** sum(widths)) as one segment."""
-    rest, levels = np.asarray(ids, np.uint64), []
+    kind = np.uint32 if sum(widths) <= 32 else np.uint64
+    rest, levels = np.asarray(ids, kind), []
     for k, width in enumerate(widths):
-        chunk = (rest & np.uint64((1 << width) - 1)).astype("<u1" if width <= 8 else "<u2")
+        chunk = (rest & kind((1 << width) - 1)).astype("<u1" if width <= 8 else "<u2")
         parts = [chunk.tobytes()]
         if k + 1 < len(widths):
-            rest = rest >> np.uint64(width)
+            rest = rest >> kind(width)
             more = rest > 0
             bits = np.packbits(more, bitorder="little").tobytes()
             bits += bytes(-len(bits) % 64)
@@ -113,18 +114,18 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFram
 
     A null text is an empty one (its only id is end_id). Rows with equal doc_id follow each other in any order,
     null doc_ids come first; other columns aren't read; an empty table gives no segments. A document never
-    spans segments, so a very long one makes a long segment."""
+    spans segments, so a very long one makes a long segment. ``inner``: ids in earlier segments of its part."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part, made = pretokens.unit_cache(tokenizer), TaskContext.get().partitionId(), 0
+        cache, part, made = pretokens.unit_cache(tokenizer), TaskContext.get().partitionId(), 0  # ids in segments made
         ids, doc_ids, ends, n = [], [], [], 0
 
         def segment():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made], pa.int32()), pa.array([n]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([compress(np.concatenate(ids))], pa.binary())], schema=_SCHEMA)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made]), pa.array([n]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([compress(np.concatenate(ids))], pa.binary())], schema=_SCHEMA)
 
         for b in batches:
             flat, begins = cache.encode(b.column("text"))
@@ -142,7 +143,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFram
                 if n >= SEGMENT_IDS:
                     ids.append(with_end[at : closing[i]])
                     yield segment()
-                    at, made, ids, doc_ids, ends, n = closing[i], made + 1, [], [], [], 0
+                    at, made, ids, doc_ids, ends, n = closing[i], made + n, [], [], [], 0
             if at < len(with_end):
                 ids.append(with_end[at:])
         if doc_ids:
@@ -156,9 +157,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the segments alone."""
     sums = segments.groupBy("part").agg(F.sum("n_ids").alias("ids"))  # a row for each task that wrote
     before_part = sums.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("part_start"))
-    within = Window.partitionBy("part").orderBy("segment")
-    starts = segments.select("part", "segment", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("inner")).join(F.broadcast(before_part), "part")
-    placed = segments.join(starts.select("part", "segment", (F.col("part_start") + F.col("inner")).alias("first")), ["part", "segment"])
+    placed = segments.join(F.broadcast(before_part), "part").withColumn("first", F.col("part_start") + F.col("inner"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -32,6 +32,23 @@ def unsafe(unit: str) -> bool:
     return not unit or unit[0].isspace() or unit[-1].isspace()
 
 
+_SPACES = [chr(c).encode() for c in range(0x3001) if chr(c).isspace()]
+_EDGES = np.zeros((2, 256), bool)
+_EDGES[0, [c[0] for c in _SPACES]] = _EDGES[1, [c[-1] for c in _SPACES]] = True
+
+
+def all_unsafe(units: pa.StringArray) -> np.ndarray:
+    """unsafe() of each of many units; bytes at the edges tell of most that they aren't."""
+    kind = np.int64 if pa.types.is_large_string(units.type) else np.int32
+    _, at, data = units.buffers()
+    at, data = np.frombuffer(at, kind)[units.offset : units.offset + len(units) + 1], np.frombuffer(data or b"", np.uint8)
+    bad = at[1:] == at[:-1]
+    some = np.flatnonzero(~bad)
+    doubt = some[_EDGES[0, data[at[some]]] | _EDGES[1, data[at[some + 1] - 1]]]
+    bad[doubt] = [unsafe(u) for u in units.take(pa.array(doubt)).to_pylist()]
+    return bad
+
+
 def surface(unit: str) -> str:
     return unit[1:] if unit.startswith(FIRST) else " " + unit
 
@@ -55,7 +72,7 @@ def numbered_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     at = offsets[:-1]
     codes[at] = [len(units) + firsts[FIRST + units[c]] for c in codes[at].tolist()]
     units += firsts
-    bad = np.fromiter(map(unsafe, units), bool, len(units))
+    bad = np.concatenate([all_unsafe(coded.dictionary), np.fromiter(map(unsafe, firsts), bool, len(firsts))])
     touched = np.unique(np.searchsorted(offsets, np.flatnonzero(bad[codes]), "right") - 1) if bad.any() else ()
     if len(touched):
         more, pieces, sizes, done = Numbering(), [], np.diff(offsets), 0
@@ -150,9 +167,12 @@ class UnitCache:
     def _ids(self, units: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known = {}
-        known = self.known
-        self._learn([u for u in units if u not in known])
-        return [known[u] for u in units]
+        ids = [*map(self.known.get, units)]
+        fresh = [k for k, x in enumerate(ids) if x is None]
+        self._learn([units[k] for k in fresh])
+        for k in fresh:
+            ids[k] = self.known[units[k]]
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text begins among these."""
