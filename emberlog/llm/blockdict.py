@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +25,10 @@ ENCODED = "block long, bucket int, entries binary, body binary"
 _ENCODED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("entries", pa.binary()), ("body", pa.binary())])
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes."""
+def pack(level: int = 3, **arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes: the lowest bytes of an array's numbers first, then the next ones, as these are more alike."""
     head = "\n".join(f"{k} {a.dtype.str} {len(a)}" for k, a in arrays.items()).encode()
-    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values()), 3)
+    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values()), level)
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
@@ -37,7 +36,9 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     at = 4 + int.from_bytes(raw[:4], "little")
     for line in raw[4:at].decode().split("\n"):
         name, dtype, n = line.split(" ")
-        out[name] = np.frombuffer(raw, np.dtype(dtype), int(n), at)
+        kind, n = np.dtype(dtype), int(n)
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(n)
         at += out[name].nbytes
     return out
 
@@ -48,6 +49,19 @@ def smallest(a: np.ndarray) -> np.ndarray:
     return a.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
 
 
+def split_ranks(ranks: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers of which most are small: a byte each, and what exceeds it of those that need more."""
+    low = np.minimum(ranks, 255).astype(np.uint8)
+    return {"low": low, "rest": smallest(ranks[low == 255] - 255)}
+
+
+def whole_ranks(low: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The numbers that split_ranks() had."""
+    out = low.astype(np.uint32)
+    out[low == 255] += rest
+    return out
+
+
 def number_pretokens(texts: pa.Array, find: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pre-tokens, the more frequent first; numbers of those of all texts; where each text begins."""
     units, codes, offsets = pretokens.numbered_units(texts)
@@ -77,13 +91,18 @@ def as_list(arrays: dict[str, np.ndarray]) -> list[bytes]:
 
 
 def _buckets(keys: list[str], count: int) -> Iterator[tuple[int, bytes]]:
-    """The keys, sorted so that they compress well, and their numbers, in buckets by hash."""
+    """The keys in buckets by hash, and their numbers as steps from one to the next, which compress well."""
     raw = [k.encode() for k in keys]
     of = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % count
-    order = pc.sort_indices(pa.table({"of": of, "key": pa.array(raw, pa.binary())}), [("of", "ascending"), ("key", "ascending")]).to_numpy()
+    order = np.argsort(of, kind="stable")
     of = of[order]
     for part in np.split(order, np.flatnonzero(np.diff(of)) + 1) if len(order) else ():
-        yield zlib.crc32(raw[part[0]]) % count, pack(no=smallest(part), **_as_bytes([raw[i] for i in part.tolist()]))
+        yield zlib.crc32(raw[part[0]]) % count, pack(9, steps=smallest(np.diff(part, prepend=0)), **_as_bytes([raw[i] for i in part.tolist()]))
+
+
+def numbers_of(entries: dict[str, np.ndarray]) -> list[int]:
+    """The numbers of a bucket's keys, or of their values, in their block."""
+    return np.cumsum(entries["steps"], dtype=np.int64).tolist()
 
 
 def encode_blocks(docs: DataFrame, find: Callable[[], Callable[[str], list[str]]], body: Callable[..., bytes]) -> DataFrame:
@@ -127,9 +146,9 @@ def valued(encoded: DataFrame, value: Callable[[], Callable[[list[str]], list[by
         numbers, each = pretokens.Numbering(), []
         for data in table.column("entries").to_pylist():
             arrays = unpack(data)
-            each.append((arrays["no"], [numbers[k] for k in as_list(arrays)]))
+            each.append((arrays["steps"], [numbers[k] for k in as_list(arrays)]))
         values = value()([k.decode() for k in numbers])
-        packed = [pack(no=no, **_as_bytes([values[i] for i in of])) for no, of in each]
+        packed = [pack(9, steps=steps, **_as_bytes([values[i] for i in of])) for steps, of in each]
         return pa.table({"block": table.column("block"), "entries": pa.array(packed, pa.binary())})
 
     return encoded.where("bucket >= 0").select("bucket", "block", "entries").groupBy("bucket").applyInArrow(one, "block long, entries binary")
@@ -145,9 +164,9 @@ def joined(encoded: DataFrame, values: DataFrame, finish: Callable[[dict, list],
                 body = unpack(data)
             else:
                 parts.append(unpack(entries))
-        by_number: list = [b""] * sum(len(p["no"]) for p in parts)
+        by_number: list = [b""] * sum(len(p["steps"]) for p in parts)
         for p in parts:
-            for no, v in zip(p["no"].tolist(), as_list(p)):
+            for no, v in zip(numbers_of(p), as_list(p)):
                 by_number[no] = v
         return finish(body, by_number)
 

@@ -33,26 +33,27 @@ def _bpe(path: str):
 
 
 def _positions(ids, texts, tokens, begins) -> bytes:
-    return blockdict.pack(null=np.asarray(ids.is_null()).astype(np.uint8), ids=np.asarray(ids.fill_null(0)), n=np.diff(begins).astype(np.int64), tokens=blockdict.smallest(tokens))
+    return blockdict.pack(9, null=np.asarray(ids.is_null()).astype(np.uint8), ids=np.asarray(ids.fill_null(0)), n=np.diff(begins).astype(np.int64), **blockdict.split_ranks(tokens))
 
 
-def _reassembled(body: dict, values: list) -> tuple[pa.Array, list[bytes]]:
+def _reassembled(body: dict, values: list, kind: str) -> tuple[pa.Array, list[bytes]]:
     """doc_id and the ids, as bytes, of each document of a block."""
-    get = values.__getitem__
+    get, tokens = values.__getitem__, blockdict.whole_ranks(body["low"], body["rest"])
     ends = np.cumsum(body["n"])
-    each = [b"".join(map(get, body["tokens"][e - n : e].tolist())) for e, n in zip(ends.tolist(), body["n"].tolist())]
+    each = [np.frombuffer(b"".join(map(get, tokens[e - n : e].tolist())), kind).astype("<u4").tobytes() for e, n in zip(ends.tolist(), body["n"].tolist())]
     return pa.array(body["ids"], mask=body["null"].astype(bool)), each
 
 
 def _encoded(docs: DataFrame, ranks_path: str):
-    """The blocks and the ids of each word of their dictionaries; every distinct word is encoded once."""
+    """The blocks, the ids of each word of their dictionaries, and these ids' type; every distinct word is encoded once."""
+    kind = "<u2" if max(read_ranks(ranks_path).values(), default=0) < 1 << 16 else "<u4"
 
     def value():
         bpe = _bpe(ranks_path)
-        return lambda words: [np.asarray(bpe._encode_single_piece(w.encode()), "<u4").tobytes() for w in words]
+        return lambda words: [np.asarray(bpe._encode_single_piece(w.encode()), kind).tobytes() for w in words]
 
     encoded = blockdict.encode_blocks(docs, lambda: _finder(()), _positions)
-    return encoded, blockdict.valued(encoded, value)
+    return encoded, blockdict.valued(encoded, value), kind
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -60,11 +61,13 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     A null or empty text has no ids; rows with equal or null doc_id give a row each; other columns are not read."""
 
+    blocks, words, kind = _encoded(docs, ranks_path)
+
     def finish(body, values):
-        ids, each = _reassembled(body, values)
+        ids, each = _reassembled(body, values, kind)
         return pa.table({"doc_id": ids, "ids": pa.array(each, pa.binary())})
 
-    return blockdict.joined(*_encoded(docs, ranks_path), finish, ENCODING)
+    return blockdict.joined(blocks, words, finish, ENCODING)
 
 
 class TokenBytes:
@@ -101,8 +104,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, and sha256 of the ids and of the bytes that they decode to."""
 
+    blocks, words, kind = _encoded(docs, ranks_path)
+
     def finish(body, values):
-        ids, each = _reassembled(body, values)
+        ids, each = _reassembled(body, values, kind)
         table = token_bytes(ranks_path)
         return pa.table({
             "doc_id": ids, "n_tokens": pa.array([len(i) // 4 for i in each], pa.int64()),
@@ -110,7 +115,7 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
             "decoded_sha256": pa.array([hashlib.sha256(table.decode(i)).hexdigest() for i in each], pa.string()),
         })
 
-    return blockdict.joined(*_encoded(docs, ranks_path), finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return blockdict.joined(blocks, words, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark, sf_dir) -> DataFrame:

@@ -103,9 +103,9 @@ class Discounts:
 
 def _keys_of(entries: list[bytes]) -> list[bytes]:
     parts = [blockdict.unpack(e) for e in entries]
-    keys: list = [b""] * sum(len(p["no"]) for p in parts)
+    keys: list = [b""] * sum(len(p["steps"]) for p in parts)
     for p in parts:
-        for no, k in zip(p["no"].tolist(), blockdict.as_list(p)):
+        for no, k in zip(blockdict.numbers_of(p), blockdict.as_list(p)):
             keys[no] = k
     return keys
 
