@@ -208,6 +208,17 @@ def test_line_templates(spark, docs, none):
     assert line_templates.without_recurring(none).isEmpty()
 
 
+def test_long_lines_recur_from_two_documents_on(spark):
+    passage, other, sums = prose(1, 55), prose(2, 60), " ".join(f"row {i} {i}" for i in range(12))
+    table = [
+        (1, f"{prose(11, 30)}\n{passage} on 12 May"), (2, f"{passage} on 13 May\n{prose(12, 30)}"), (3, f"{prose(13, 25)}\n{other}\n{prose(3, 8)}"), (4, f"{other}\n{prose(14, 25)}"),
+        (5, f"{other}\n{other}\nend"), (6, f"{prose(3, 8)}\n{sums}"), (7, f"{prose(15, 25)}\n{sums}"),
+    ]
+    got = {r.doc_id: r for r in line_templates.without_recurring(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
+    gone = {2: prose(12, 30), 4: prose(14, 25), 5: "end"}  # short lines and lines of numbers don't recur in two documents
+    assert {d: r.text for d, r in got.items()} == {d: gone.get(d, t) for d, t in table} and got[5].n_dropped == 2
+
+
 def test_quality(spark, docs, none, labels):
     clean = [(i, prose(i, 120), "en" if i % 2 else "de") for i in range(60)]
     junk = [(100 + i, prose(i, 60).upper().replace(" ", "### "), "en") for i in range(5)]
