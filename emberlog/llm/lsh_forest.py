@@ -5,7 +5,8 @@ tree's sorted order, documents that share a long prefix are neighbours. The dept
 they count as candidates adapts to the region: where few share the first DEPTH values, all of
 those pair up; where many do, the region is split by the next value, and so on, and only neighbours
 pair up in what stays crowded to the full depth. So no region gives more than a few pairs for each
-of its documents, whatever its size. Candidates are confirmed on whole shingle sets.
+of its documents, whatever its size. Candidates are confirmed on whole shingle sets. Regions of more
+documents that aren't all connected by then are compared in full, in blocks: every document with every other.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .components import components
 VALUES, TREES, STRIDE, DEPTH, FULL = 60, 20, 3, 3, 12
 #: Documents of a region that all pair up.
 SMALL = 8
+#: Documents of a block of a larger region; blocks are compared two by two.
+BLOCK = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,6 +193,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return common.stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(rows, "a long, b long"))
 
 
+def links_between(a: list[np.ndarray], b: list[np.ndarray], similarity: int) -> np.ndarray:
+    """A row for each of the sets a: which of the sets b have 100 * intersection >= similarity * union. No set is empty."""
+    sizes = np.fromiter(map(len, b), np.int64, len(b))
+    known, codes = np.unique(np.concatenate(b), return_inverse=True)
+    starts, out = np.cumsum(sizes) - sizes, np.zeros((len(a), len(b)), bool)
+    for i, x in enumerate(a):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        mark = np.zeros(len(known), np.int32)
+        mark[at[known[at] == x]] = 1
+        both = np.add.reduceat(mark[codes], starts)
+        out[i] = 100 * both >= similarity * (len(x) + sizes - both)
+    return out
+
+
+def _within_regions(classes: DataFrame, joined: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between the components ``joined`` within regions of more than SMALL classes, each compared in full."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    prefix = F.expr(f"substring(concat(signature, signature), tree * {2 * STRIDE} + 1, {2 * DEPTH})").alias("prefix")
+    of = joined.select(F.col("node").alias("rep"), "component")
+    members = classes.select("rep", "signature", at).select("rep", "tree", prefix).join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sized = members.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
+    crowded = common.stored(sized.where((F.col("size") > SMALL) & (F.col("least") != F.col("most"))).select("tree", "prefix", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    dealt = common.spread_join(members, crowded, ["tree", "prefix"], "size", ["rep"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = other.select("tree", "prefix", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component").join(sets, "rep")
+
+    def compared(table: pa.Table) -> pa.Table:
+        reps, components_, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        # what is connected already needs no link
+        apart = components_[left][:, None] != components_[right][None, :]
+        left, right = left[apart.any(1)], right[apart.any(0)]
+        a = b = np.zeros(0, np.int64)
+        if len(left):
+            linked = links_between([found[i] for i in left], [found[i] for i in right], similarity) & (components_[left][:, None] != components_[right][None, :])
+            x, y = np.nonzero(linked)
+            a, b = np.minimum(reps[left[x]], reps[right[y]]), np.maximum(reps[left[x]], reps[right[y]])
+        return pa.table({"a": a, "b": b})
+
+    return common.stored(paired.groupBy("tree", "prefix", "p", "q").applyInArrow(compared, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, text_hash (xxhash64), n_shingles, component_id and kept of each document.
 
@@ -219,7 +266,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     if not rest.isEmpty():
         more = _confirmed(rest, sets, similarity)
         if not more.isEmpty():
-            joined = components(linked.unionByName(more))
+            linked = linked.unionByName(more)
+            joined = components(linked)
+    # last the regions that are crowded: their candidates were only some of their pairs
+    more = _within_regions(classes, joined, sets, similarity)
+    if not more.isEmpty():
+        joined = components(linked.unionByName(more))
     # the least doc_id of a component of classes, back to the classes and their documents
     named = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "rep_id", F.coalesce("component", "rep").alias("component"))
     least_id = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))

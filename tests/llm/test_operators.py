@@ -178,6 +178,17 @@ def test_near_duplicates(docs, spark, none, width):
     assert lsh_forest.keep_one(docs, width).columns == docs.columns
 
 
+def test_near_duplicates_in_a_crowd(spark, monkeypatch):
+    """Pairs at 0.81 among documents that have 0.78 in common with each other."""
+    shared = [f"c{i}" for i in range(178)]
+    texts = [" ".join([*shared, *(f"p{k // 2}x{i}" for i in range(4)), *(f"u{k}x{i}" for i in range(21))]) for k in range(400)]
+    _, links = brute_links(texts, 4)
+    assert links == [(k, k + 1) for k in range(0, 400, 2)]
+    monkeypatch.setattr(lsh_forest, "BLOCK", 64)  # several blocks
+    got = lsh_forest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in range(400)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(400, 460)]
