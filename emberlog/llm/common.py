@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that a Python worker gets at once; bounds worker memory for long texts.
@@ -15,12 +16,14 @@ HOT_KEYS, SALTS = 1000, 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), a local folder is set."""
+    """A new folder below ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (tests), a local folder is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         # sparkContext keeps what an earlier call has set
         current = spark.sparkContext.getCheckpointDir()
         if not current:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberlog-"))
             current = spark.sparkContext.getCheckpointDir()
         base = current
@@ -62,9 +65,28 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, sa
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def without(docs: DataFrame, gone: DataFrame, keys: list[str], of_text: Callable[[Column], list[Column]]) -> DataFrame:
+    """The rows of ``docs`` but for those whose doc_id and keys, which of_text() gives of their text, are rows of ``gone``.
+
+    The columns of docs stand aside in a struct, so their names can't clash with those of the keys."""
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+    marked = own.select("_row", F.col("_row.doc_id").cast("long").alias("_id"), *[k.alias(f"_{name}") for name, k in zip(keys, of_text(F.col("_row.text")))])
+    out = gone.select(F.col("doc_id").alias("gone_id"), *[F.col(k).alias(f"gone_{k}") for k in keys]).distinct()
+    same = F.col("_id").eqNullSafe(F.col("gone_id"))
+    for k in keys:
+        same = same & (F.col(f"_{k}") == F.col(f"gone_{k}"))
+    return marked.join(out, same, "left_anti").select("_row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The planner's estimate of how many bytes ``df`` has: of files their size; 0 where it knows none. Nothing is read."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
