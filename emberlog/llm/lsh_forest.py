@@ -29,6 +29,8 @@ VALUES, TREES, STRIDE, DEPTH, FULL = 60, 20, 3, 3, 12
 SMALL = 8
 #: Documents of a block of a larger region; blocks are compared two by two.
 BLOCK = 256
+#: Parts of a sorted order whose ends meet in a part of the next level.
+FAN_IN = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,14 +119,13 @@ def _candidates(classes: DataFrame) -> DataFrame:
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     label = F.expr(f"substring(concat(signature, signature), tree * {2 * STRIDE} + 1, {2 * FULL})").alias("label")
     ordered = classes.select("rep", "signature", tree).select("tree", label, "rep")
-    out = "a long, b long, edge int, tree int, label binary, rep long"
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("edge", pa.int32()), ("tree", pa.int32()), ("label", pa.binary()), ("rep", pa.int64())])
+    out = "a long, b long, tree int, label binary, rep long"
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("label", pa.binary()), ("rep", pa.int64())])
 
-    def batch(a, b, edge=None):
-        edge = edge or []
+    def batch(a, b, edge=()):
         n, m = len(a), len(edge)
-        cols = list(zip(*edge)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array([*a, *[None] * m], pa.int64()), pa.array([*b, *[None] * m], pa.int64()), *(pa.array([*[None] * n, *c], k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.int64())))], schema=schema)
+        cols = list(zip(*edge)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array([*a, *[None] * m], pa.int64()), pa.array([*b, *[None] * m], pa.int64()), *(pa.array([*[None] * n, *c], k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.int64())))], schema=schema)
 
     def paired(trees, labels, reps):
         begin, a, b = 0, [], []
@@ -138,18 +139,15 @@ def _candidates(classes: DataFrame) -> DataFrame:
         return a, b
 
     def along(batches):
-        """Pairs of a part of a sorted order. Its first and last rows go out too, as a run may go on in the next part."""
-        from pyspark import TaskContext
-
-        part, trees, labels, reps, seen, tail = TaskContext.get().partitionId(), [], [], [], 0, []
+        """Pairs of a part of a sorted order. Its first and last rows go out too, as a run may go on in the parts around it."""
+        trees, labels, reps, head, tail = [], [], [], [], []
         for b in batches:
             trees += b.column("tree").to_pylist()
             labels += b.column("label").to_pylist()
             reps += b.column("rep").to_pylist()
-            if not seen:
-                yield batch([], [], [(part - 1, t, x, r) for t, x, r in zip(trees[:SMALL], labels, reps)])
-            seen += b.num_rows
-            tail = [(part, t, x, r) for t, x, r in zip(trees[-SMALL:], labels[-SMALL:], reps[-SMALL:])]
+            ends = list(zip(trees, labels, reps))
+            head += ends[len(ends) - b.num_rows :][: SMALL - len(head)]
+            tail = [*tail, *ends[len(ends) - b.num_rows :]][-SMALL:]
             # what comes before the last run is whole; a crowded run is cut, keeping neighbours
             end = len(labels) - 1
             while end > 0 and trees[end - 1] == trees[-1] and labels[end - 1][: 2 * DEPTH] == labels[-1][: 2 * DEPTH]:
@@ -160,20 +158,22 @@ def _candidates(classes: DataFrame) -> DataFrame:
             else:
                 yield batch(*paired(trees[:end], labels[:end], reps[:end]))
             trees, labels, reps = trees[end:], labels[end:], reps[end:]
-        yield batch(*paired(trees, labels, reps), tail)
-
-    def across(table: pa.Table) -> pa.Table:
-        """Pairs of the last rows of one part and the first ones of the next."""
-        got = sorted(set(zip(table.column("tree").to_pylist(), table.column("label").to_pylist(), table.column("rep").to_pylist())))
-        a, b = paired(*map(list, zip(*got)))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    n = common.parallelism(spark)
-    # the representative is the last key, so that equal labels spread over parts
-    ordered = ordered.repartitionByRange(n, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
-    found = common.stored(ordered.mapInArrow(along, out))
-    edges = found.where("edge is not null").groupBy("edge").applyInArrow(across, "a long, b long")
-    return common.stored(found.where("a is not null").select("a", "b").unionByName(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")))
+        yield batch(*paired(trees, labels, reps), sorted({*head, *tail}))
+
+    keys = ["tree", "label", "rep"]
+    n, pairs = common.parallelism(spark), None
+    while True:
+        # the representative is the last key, so that equal labels spread over parts; the last part has a few rows of each of at most FAN_IN parts
+        parts = ordered.repartitionByRange(n, *keys) if n > 1 else ordered.coalesce(1)
+        found = common.stored(parts.sortWithinPartitions(*keys).mapInArrow(along, out))
+        some = found.where("a is not null").select("a", "b", F.lit(pairs is None).alias("within"))
+        pairs = some if pairs is None else pairs.unionByName(some)
+        if n == 1:
+            break
+        # runs that parts cut: the ends of all parts are an order of their own, which has few rows however long the first one
+        n, ordered = -(-n // FAN_IN), found.where("a is null").select(*keys)
+    # trees of the first level alone are counted, as an end meets its own part's rows again
+    return common.stored(pairs.groupBy("a", "b").agg(F.greatest(F.sum(F.col("within").cast("long")), F.lit(1)).alias("trees")))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -286,8 +286,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
 def _sets(docs: DataFrame, signed: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     """(rep, set) for the representatives that have candidates: their texts are read again and hashed whole."""
 
-    # a doc_id may have several rows with other texts: the digest tells which one is meant
-    wanted = signed.join(needed, "uid").select(F.col("uid").alias("rep"), "doc_id", F.col("digest").alias("want"))
+    # a doc_id, or none, may be that of many rows: the text's hash and the set's digest tell which one is meant
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_hash").alias("hash")]
+    alike = signed.where("digest is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+    wanted = signed.join(needed, "uid").select(*key, F.col("uid").alias("rep"), F.col("digest").alias("want")).dropDuplicates(["id", "no_id", "hash"])
+    wanted = common.stored(wanted.join(alike, ["id", "no_id", "hash"]))
 
     def rows(batches):
         for b in batches:
@@ -296,15 +299,16 @@ def _sets(docs: DataFrame, signed: DataFrame, needed: DataFrame, width: int) ->
             keep = pa.array(same, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("rep").filter(keep), pa.array(sets, pa.binary()).filter(keep)], names=["rep", "set"])
 
-    texts = common.id_text(docs)
-    got = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("rep", "want", "text").mapInArrow(rows, "rep long, set binary")
-    return common.stored(got.dropDuplicates(["rep"]))
+    texts = common.id_text(docs).withColumn("text_hash", F.xxhash64("text")).select(*key, "text", F.monotonically_increasing_id().alias("_any"))
+    got = common.spread_join(texts, wanted, ["id", "no_id", "hash"], "rows", ["_any"]).select("rep", "want", "text").mapInArrow(rows, "rep long, set binary")
+    return common.stored(got.groupBy("rep").agg(F.first("set").alias("set")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with their columns: of each component, those of the least doc_id."""
-    gone = near_duplicates(docs, width, similarity).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("gone_hash")), "left_anti")
+    """The rows of docs that near_duplicates() keeps, with their columns, whatever these are called: of each component,
+    those of the least doc_id. Rows without a doc_id or shingles stay; an empty table gives no rows."""
+    gone = near_duplicates(docs, width, similarity).where("not kept").select("doc_id", "text_hash")
+    return common.without(docs, gone, ["text_hash"], lambda text: [F.xxhash64(F.coalesce(text, F.lit("")))])
 
 
 def op6_near_duplicates(spark, sf_dir) -> DataFrame:
