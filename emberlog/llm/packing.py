@@ -1,9 +1,9 @@
 """Hierarchical residual packing of documents into sequences.
 
 Every partition packs its pieces by best fit, longest first, and closes the bins that are nearly full.
-The others become items, as long as what they hold, of the next round, in which a few partitions
-meet in one; rounds go on until one is left. A round closes the fullest of its bins beyond a
-bound, so what the last one gets is bounded too.
+The others become items, as long as what they hold, of the next round, in which the bins of several partitions
+meet in one of the same number of items. Rounds go on until one partition is left, or until a round closes
+or merges hardly any: what stays then has no partners, such as pieces of more than half a sequence.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from . import common, pretokens
 
-#: Pieces that a first-round partition has about, partitions that meet in a later round, bins that one may pass on.
-PART_ITEMS, FAN_IN, PASS_ON = 40_000, 8, 4_000
-PIECES = "uid string, doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Items that a partition has about; share of a round's items that may stay open for there to be another round.
+PART_ITEMS, WORTH = 40_000, 0.9
+#: Bits of a partition, and of a bin within it, in the number of a bin; the round stands before them.
+GROUP_BITS, BIN_BITS = 32, 25
+PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,59 +69,59 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
                 ids[:-1], ids[-1] = flat[a:e], end_id
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     some = ids[at : at + capacity]
-                    out.append((f"{part}_{made}", doc_id, k, at, len(some), zlib.crc32(some)))
+                    out.append((part << 36 | made, doc_id, k, at, len(some), zlib.crc32(some)))
                     made += 1
             columns = list(zip(*out)) or [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     return common.stored(common.id_text(docs).mapInArrow(rows, PIECES))
 
 
-def _round(items: DataFrame, capacity: int, level: int, enough: int, last: bool) -> DataFrame:
-    """(uid, grp, length) -> (uid, bin, offset, grp, used, open): one round of best fit within each grp."""
+def _round(items: DataFrame, capacity: int, level: int, groups: int, enough: int) -> DataFrame:
+    """(uid, length) -> (uid, bin, offset, used, open): one round of best fit within each of ``groups`` partitions."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "uid"], ascending=[False, True], kind="stable")
         bins, offsets, used = best_fit(pdf["length"].to_numpy(), capacity)
-        keep = np.zeros(len(used), bool)
-        if not last:
-            least = np.argsort(used, kind="stable")[:PASS_ON]
-            keep[least] = used[least] < enough
-        grp = int(key[0])
-        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "bin": [f"{level}_{grp}_{b}" for b in bins.tolist()], "offset": offsets, "grp": grp // FAN_IN, "used": used[bins], "open": keep[bins]})
+        if len(used) >> BIN_BITS:
+            raise OverflowError("a partition has too many bins to number")
+        number = (level << GROUP_BITS | int(key[0])) << BIN_BITS
+        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "bin": number + bins, "offset": offsets, "used": used[bins], "open": used[bins] < enough})
 
-    return items.groupBy("grp").applyInPandas(one, "uid string, bin string, offset long, grp long, used long, open boolean")
+    grouped = items.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)).cast("long"))
+    return grouped.groupBy("grp").applyInPandas(one, "uid long, bin long, offset long, used long, open boolean")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nearly_full: float = 0.995) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nearly_full: float = 0.998) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     A null or empty text is a piece of the end id alone; rows with equal or null doc_id are packed each by
-    itself; other columns aren't read; an empty table gives no rows. Results of equal runs may number the
-    sequences differently, but never put two pieces at one place."""
+    itself; other columns aren't read; an empty table gives no rows. Sequences are numbered, not hashed: no two share an
+    id. Results of equal runs may number the sequences differently, but never put two pieces at one place."""
     pieces = token_pieces(docs, tokenizer, capacity, end_id)
-    enough = int(capacity * nearly_full)
-    full, rest = pieces.where(F.col("length") >= enough), pieces.where(F.col("length") < enough)
-    groups = max(1, -(-rest.count() // PART_ITEMS))
-    items = rest.select("uid", (F.pmod(F.xxhash64("uid"), F.lit(groups))).cast("long").alias("grp"), "length")
-    level, rounds = 0, []
+    enough = max(1, int(capacity * nearly_full))
+    full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    items, rounds = rest.select("uid", "length"), []
+    n = rest.count()
     while True:
-        done = common.stored(_round(items, capacity, level, enough, groups == 1))
+        groups = max(1, -(-n // PART_ITEMS))
+        done = common.stored(_round(items, capacity, len(rounds), groups, enough))
         rounds.append(done)
         if groups == 1:
             break
-        level, groups = level + 1, -(-groups // FAN_IN)
-        items = done.where("open").groupBy("bin", "grp").agg(F.max("used").alias("length")).select(F.col("bin").alias("uid"), "grp", "length")
+        items = done.where("open").groupBy(F.col("bin").alias("uid")).agg(F.max("used").alias("length"))
+        before, n = n, items.count()
+        if not n or n > WORTH * before:
+            break
     # where the bins of each round went in the next: from the last round back
     placed = rounds[-1].select("uid", "bin", "offset")
     for done in reversed(rounds[:-1]):
         moved = placed.select(F.col("uid").alias("bin"), F.col("bin").alias("to_bin"), F.col("offset").alias("by"))
         placed = done.join(moved, "bin", "left").select("uid", F.coalesce("to_bin", "bin").alias("bin"), (F.col("offset") + F.coalesce("by", F.lit(0))).alias("offset"))
-    sequence = F.xxhash64("bin").alias("sequence_id")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    alone = full.select(*columns, F.xxhash64(F.concat(F.lit("full_"), "uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return rest.join(placed, "uid").select(*columns, sequence, "offset").unionByName(alone)
+    alone = full.select(*columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))  # below those of bins
+    return rest.join(placed, "uid").select(*columns, F.col("bin").alias("sequence_id"), "offset").unionByName(alone)
 
 
 def op5_packing(spark, sf_dir) -> DataFrame:
