@@ -14,13 +14,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Cells of a fingerprint and of a stratum's first sketch, digests of both sides that a stratum has about, rounds of peeling.
+#: Cells of a fingerprint and of a stratum's first sketch, digests of both sides that a stratum has at most, or about, rounds of peeling.
 CELLS, STRATUM_CELLS, STRATUM, ROUNDS = 24, 96, 32, 10
+#: Ways a stratum is split each time, as a power of two, and times: far more than a text has paragraphs for.
+SPLIT_BITS, SPLITS = 3, 8
+#: Code points beyond which a line is cut, and of a piece at least: pieces end with a sentence, so they come again after an edit.
+LONG_LINE, PIECE = 400, 200
 
 
 def digests(text: Column) -> Column:
-    """Distinct 64-bit digests of the paragraphs (lines that aren't empty) of a text."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    """Distinct 64-bit digests of the paragraphs of a text: lines that aren't empty, of long ones pieces at the ends of sentences."""
+    lines = F.filter(F.split(text, "\n", -1), lambda p: p != "")
+    cut = lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{{PIECE}}}[^.!?]*[.!?]+|.+$"), F.lit(0))
+    parts = F.transform(lines, lambda p: F.when(F.char_length(p) > LONG_LINE, cut(p)).otherwise(F.array(p)))
+    return F.array_distinct(F.transform(F.flatten(parts), lambda p: F.xxhash64(p)))
 
 
 def _places(digest: Column, cells: int, seed: int) -> Column:
@@ -90,15 +97,19 @@ def as_string(cells: Column) -> Column:
 def differences(pairs: DataFrame) -> DataFrame:
     """(pair, plus, minus) for rows (pair, a, b): the digests that only a, and only b, has, as recovered from sketches alone.
 
-    Arrays must not be null. Pairs whose fingerprints can't be peeled are sketched again in strata, with more cells each time."""
+    Arrays must not be null; a pair without digests has none that differ; repeated rows of a pair count as one pair's
+    strata; no rows give none. Pairs whose fingerprints can't be peeled are sketched again in strata, with more cells each time."""
     got = peeled(subtracted(sketch(F.col("a")), sketch(F.col("b"))), CELLS).alias("d")
     # more differences than cells can't be peeled: the lengths tell that many differ at least
     first = common.stored(pairs.select("pair", "a", "b", F.when(F.abs(F.size("a") - F.size("b")) < CELLS, got).alias("d")))
     done = first.where("d.whole").select("pair", "d.plus", "d.minus")
     left = first.where("d.whole is null or not d.whole").select("pair", "a", "b")
-    strata = F.greatest(F.lit(1), F.pow(2, F.ceil(F.log2((F.size("a") + F.size("b")) / STRATUM)))).cast("int")
-    mine = lambda c: F.filter(F.col(c), lambda d: F.pmod(d, F.col("strata").cast("long")) == F.col("stratum").cast("long"))
-    left = left.withColumn("strata", strata).select("*", F.explode(F.sequence(F.lit(0), F.col("strata") - 1)).alias("stratum")).select("pair", mine("a").alias("a"), mine("b").alias("b"))
+    # strata by the digests' bits, split again and again while large, so each digest is looked at a few times whatever the size
+    for k in range(SPLITS):
+        ways = 1 << SPLIT_BITS
+        large = F.size("a") + F.size("b") > STRATUM
+        mine = lambda c: F.when(large, F.filter(F.col(c), lambda d: F.shiftrightunsigned(d, SPLIT_BITS * k).bitwiseAND(F.lit(ways - 1)) == F.col("stratum"))).otherwise(F.col(c))  # noqa: B023, E731
+        left = left.select("pair", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.when(large, F.lit(ways - 1)).otherwise(F.lit(0)).cast("long"))).alias("stratum")).select("pair", mine("a").alias("a"), mine("b").alias("b"))
     parts, cells, seed = [], STRATUM_CELLS, 1
     while True:
         got = peeled(subtracted(sketch(F.col("a"), cells, seed), sketch(F.col("b"), cells, seed)), cells, seed).alias("d")
@@ -148,7 +159,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = with_next(docs).withColumn("edited", edited)
     base = base.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed"), digests(F.col("next_text")).alias("following"))
     base = common.stored(base.withColumn("row", F.monotonically_increasing_id()))
-    pairs = base.select(F.explode(F.array(F.struct((F.col("row") * 2).alias("pair"), F.col("own").alias("a"), F.col("changed").alias("b")), F.struct((F.col("row") * 2 + 1).alias("pair"), F.col("own").alias("a"), F.col("following").alias("b")))).alias("p")).select("p.*")
+    # few bytes, much work: as many tasks as shuffles have, not as files are large
+    pairs = base.repartition(common.parallelism(base.sparkSession), "row").select(F.explode(F.array(F.struct((F.col("row") * 2).alias("pair"), F.col("own").alias("a"), F.col("changed").alias("b")), F.struct((F.col("row") * 2 + 1).alias("pair"), F.col("own").alias("a"), F.col("following").alias("b")))).alias("p")).select("p.*")
     counts = differences(pairs).select(F.expr("pair div 2").alias("row"), (F.col("pair") % 2).alias("which"), (F.size("plus") + F.size("minus")).alias("n"))
     of = lambda k: F.max(F.when(F.col("which") == k, F.col("n")))
     counts = counts.groupBy("row").agg(of(0).alias("n_edited"), of(1).alias("n_next"))
