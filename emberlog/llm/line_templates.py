@@ -141,17 +141,21 @@ def without_recurring(docs: DataFrame, min_docs: int | None = None) -> DataFrame
 
     Lines end with a line feed. Those of fewer than MIN_TOKENS tokens, empty ones too, always stay. A null text
     stays null, with no lines. Rows equal in doc_id and text count as one document in the choice of what recurs
-    first; every row is returned. emptied: the text had words and has none left."""
+    first; every row is returned. emptied: the text had words and has none left. Other columns, whatever their names,
+    stay as they are; an empty table gives no rows."""
     docs = docs.drop("n_lines", "n_dropped", "emptied")
-    gone = dropped_lines(docs, min_docs).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "drop")
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (key == F.col("gone_hash")), "left")
-    lines = F.split("text", "\n", -1)
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
-    emptied = F.coalesce(F.col("drop").isNotNull() & ~text.rlike(r"\S"), F.lit(False))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), emptied.alias("emptied"))
+    gone = dropped_lines(docs, min_docs).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("drop").alias("_drop"))
+    # the columns of docs stand aside in a struct, so their names can't clash
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+    text = F.col("_row.text")
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    joined = own.join(gone, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (key == F.col("gone_hash")), "left")
+    drop, lines = F.col("_drop"), F.split(text, "\n", -1)
+    left = F.when(drop.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_dropped = F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long")
+    emptied = F.coalesce(drop.isNotNull() & ~left.rlike(r"\S"), F.lit(False))
+    return joined.select(*[left.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), emptied.alias("emptied"))
 
 
 def op1_line_templates(spark, sf_dir) -> DataFrame:
