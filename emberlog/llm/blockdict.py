@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common, pretokens
 
-#: Bytes of text after which a block is closed; a longer single text is a block of its own.
-BLOCK_BYTES = 32 << 20
+#: Bytes of text after which a block is closed; a longer single text is a block of its own. Bytes of input for each bucket, and buckets at most.
+BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 32 << 20, 32 << 20, 1 << 16
 ENCODED = "block long, bucket int, entries binary, body binary"
 _ENCODED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("entries", pa.binary()), ("body", pa.binary())])
 
@@ -110,7 +110,8 @@ def encode_blocks(docs: DataFrame, find: Callable[[], Callable[[str], list[str]]
 
     find() gives, on a worker, the function that finds the pre-tokens of a text; body(doc_ids, texts, tokens, begins) what stays of a block."""
     common.bounded_batches(docs.sparkSession)
-    count = 4 * common.parallelism(docs.sparkSession)
+    # more input, more buckets: what a task of theirs gets doesn't grow
+    count = max(4 * common.parallelism(docs.sparkSession), min(BUCKETS, common.input_bytes(docs) // BUCKET_BYTES))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
