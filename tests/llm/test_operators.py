@@ -2,17 +2,20 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from emberlog.llm import byte_bpe, components, direct_codes, line_templates, lsh_forest, packing, paragraph_sketch, pretokens, progressive_jpeg, quality, token_counts, toxicity
+from emberlog.llm import byte_bpe, common, components, direct_codes, line_templates, lsh_forest, packing, paragraph_sketch, pretokens, progressive_jpeg, quality, token_counts, toxicity
 
 BYTE, RANKS, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
 WORDS = "the of and river stone green walks quietly under seven old bridges while nobody counts its long slow turns again".split()
@@ -189,6 +192,30 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in range(400)}
 
 
+def test_near_duplicates_whatever_the_partitions(spark, docs, monkeypatch):
+    """Runs of equal prefixes across many short and empty parts; null and repeated ids without a join of all pairs."""
+    base = prose(3, 60).split()
+    table = [(i, " ".join([*base[: i % 7], f"x{i % 5}", *base[i % 7 :]])) for i in range(70)] + [(None, prose(9, 40))] * 300 + [(5, prose(9, 40))] * 40
+    df, seen = spark.createDataFrame(table, "doc_id long, text string"), []
+    for n in (2, 40):
+        monkeypatch.setattr(common, "parallelism", lambda _, n=n: n)
+        monkeypatch.setattr(lsh_forest, "FAN_IN", 8)
+        got = lsh_forest.near_duplicates(df, 4)
+        seen.append(sorted(map(str, got.collect())))
+    assert seen[0] == seen[1] and len(seen[0]) == len(table)
+    assert lsh_forest.keep_one(df, 4).where("doc_id is null").count() == 300
+
+
+def test_columns_of_any_name(spark):
+    """Stages keep columns whose names are those of their own."""
+    names = ["drop", "gone_id", "gone_hash", "gone_crc", "gone_text_hash", "_id", "_hot", "rows", "score", "bin", "a.b"]
+    table = [(i, prose(i, 30), "en", *(f"{n}{i}" for n in names)) for i in range(8)]
+    df = spark.createDataFrame(table, ["doc_id", "text", "lang", *names])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    for got in (quality.keep_good(df, labels), lsh_forest.keep_one(df), toxicity.keep_clean(df, labels), line_templates.without_recurring(df).drop("n_lines", "n_dropped", "emptied")):
+        assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(map(tuple, table))
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(400, 460)]
@@ -242,15 +269,85 @@ def test_quality(spark, docs, none, labels):
     assert quality.quality(docs, nothing).where("not kept").isEmpty()
 
 
+def plain_model(texts, order):
+    """Interpolated modified Kneser-Ney over bytes, by dictionaries: the log probability of each byte of a text."""
+    pad = b"\n" * (order - 1)
+    raw = Counter(w for t in texts for p in [pad + t] for w in (p[i : i + order] for i in range(len(t))))
+    counts = {order: raw}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(w[1:] for w in counts[n + 1])
+    discount, contexts = {}, {}
+    for n in range(2, order + 1):
+        n1, n2, n3, n4 = (sum(c == k for c in counts[n].values()) for k in range(1, 5))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        discount[n] = [0] + [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
+        contexts[n] = {}
+        for w, c in counts[n].items():
+            contexts[n].setdefault(w[:-1], []).append(c)
+
+    def probability(gram):
+        n = len(gram)
+        if n == 1:
+            return (counts[1][gram] + 0.5) / (sum(counts[1].values()) + 128)
+        lower, seen = probability(gram[1:]), contexts[n].get(gram[:-1])
+        if not seen:
+            return lower
+        c, d = counts[n][gram], discount[n]
+        return max(c - d[min(c, 3)], 0) / sum(seen) + sum(d[min(x, 3)] for x in seen) / sum(seen) * lower
+
+    return lambda t: sum(math.log(probability((pad + t)[i : i + order])) for i in range(len(t)))
+
+
+def test_perplexities_are_those_of_a_plain_model(spark, docs, none, monkeypatch):
+    table = [(i, prose(i, 20 + i), "en") for i in range(12)] + [(20, "", "en"), (None, "Ünique  text\n\nof no id \x02\x03", None), (3, prose(77, 5), "de"), (21, None, "de"), (22, "zq " * 400, "en")]
+    counted = [0, 1, 2, 3, 4, 5]
+    expect = plain_model([(t or "").encode() for d, t, _ in table if d in counted], quality.ORDER)
+    df, ids = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame([(c,) for c in counted], "doc_id long")
+    monkeypatch.setattr(quality, "SLICE", 700)  # texts longer and shorter than a slice
+    got = sorted(((r.doc_id, r.n_bytes, r.lang, r.log_p) for r in quality.perplexities(df, ids).collect()), key=str)
+    want = sorted(((d, len((t or "").encode()), lang, expect((t or "").encode())) for d, t, lang in table), key=str)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-4 * max(1, abs(w[3])) for g, w in zip(got, want))
+    assert quality.perplexities(none, ids).isEmpty() and quality.perplexities(docs, ids.where("false")).count() == len(ROWS)
+
+
+def test_thresholds_come_from_texts_that_are_not_counted(spark):
+    table = [(i, prose(i, 20 + i % 90), "en" if i % 3 else "de") for i in range(300)] + [(400 + i, prose(i, 50)[::-1], "fr") for i in range(5)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(250)], "doc_id long, quality int")
+    held = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.HELD)) == 0).collect()}
+    got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    expect = plain_model([t.encode() for d, t, _ in table if d < 250 and d not in held], quality.ORDER)
+    surprise = {d: -expect(t.encode()) / len(t.encode()) for d, t, _ in table}
+    root = {d: min(len(t.encode()), quality.STEADY) ** 0.5 for d, t, _ in table}
+
+    def above(ids):
+        middle = sorted(surprise[d] for d in ids)[-(-len(ids) // 2) - 1]
+        over = sorted((surprise[d] - middle) * root[d] for d in ids)
+        return middle, over[-(-round(quality.HIGH * len(over) * 1000) // 1000) - 1]
+
+    of = {k: above([d for d in held if k is None or table[d][2] == k]) for k in ("en", "de", None)}
+    for d, _, lang in table:
+        middle, over = of.get(lang, of[None])
+        assert abs(math.log(got[d].threshold) - middle - over / root[d]) < 1e-3
+        if abs(surprise[d] - middle - over / root[d]) > 1e-3:
+            assert got[d].kept == (surprise[d] < middle + over / root[d])
+    assert not any(got[400 + i].kept for i in range(5))
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
-    keys = ["".join(rng.choice(list("abc"), rng.integers(1, 9))).encode() for _ in range(300)]
-    codes, _ = quality.ngrams(keys)
-    shards = {s: quality.Shard(codes[part], np.ones(len(part), np.int64)) for s, part in quality._by_shard(codes)}
-    model = quality.Discounts(sum(s.of_counts() for s in shards.values()))
+    text = "".join(rng.choice(list("abc "), 600)).encode()
+    codes, counts = quality.distinct_grams(np.frombuffer(text, np.uint8), np.asarray([len(text)]))
+    shards = {s: quality.Shard(codes[part], counts[part]) for s, part in quality.by_shard(codes, 8)}
+    numbers = Counter()
+    for shard in shards.values():
+        for k, n in zip(*(x.tolist() for x in shard.statistics())):
+            numbers[k] += n
+    base = quality.Base(numbers)
     for code in codes[:40]:
         all_next = (code & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
-        assert abs(np.exp(shards[int(quality.shard_of(code))].score(all_next, model)).sum() - 1) < 1e-6
+        assert abs(np.exp(shards[int(quality.shard_of(code[None], 8)[0])].score(all_next, base)).sum() - 1) < 1e-6
 
 
 def test_toxicity(spark, docs, none, labels):
@@ -276,16 +373,65 @@ def test_gradients():
     weights = rng.standard_normal(4)
     net.forward(project(), mask, cache)
     grads = net.gradients(x, mask, cache, weights)
-    for k in net.p:
-        at = tuple(rng.integers(0, s) for s in net.p[k].shape)
-        old, sides = net.p[k][at], []
+    shown = {**net.p, "x": x}
+    for k in set(shown) - {"words", "runs"}:
+        at = tuple(rng.integers(0, s) for s in shown[k].shape)
+        old, sides = shown[k][at], []
         for step in (1e-3, -1e-3):
-            net.p[k][at] = old + step
+            shown[k][at] = old + step
             sides.append(float(net.forward(project(), mask) @ weights))
-        net.p[k][at] = old
+        shown[k][at] = old
         assert abs((sides[0] - sides[1]) / 2e-3 - grads[k][at]) < 5e-3 * max(1, abs(grads[k][at]))
 
 
+def test_scores_are_those_of_a_plain_forward_pass():
+    """Every window of every text, unit by unit and step by step; the worst one gives the score."""
+    rng = np.random.default_rng(6)
+    words = {w: (float(rng.normal()), float(rng.random())) for w in WORDS[:9]}
+    runs = np.unique(toxicity.byte_runs(WORDS)[0])[::2]
+    model = toxicity.Model(words, runs, rng.normal(size=len(runs)).astype(np.float32), toxicity.Network(5), 0.2)
+    p, m = model.network.p, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def inputs(word):
+        codes = [int.from_bytes(("^" + word + "$").encode()[i : i + 5], "big") for i in range(len(word) - 2)]
+        odds = [float(model.run_odds[list(runs).index(c)]) if c in runs else 0.0 for c in codes]
+        chars = np.mean([p["runs"][toxicity.run_rows(np.asarray([c]))[0]] for c in codes], 0) if codes else np.zeros(toxicity.VECTOR)
+        own = [*words.get(word, (0.0, 0.0)), 1.0, *((max(odds), sum(odds) / len(odds), min(odds), min(len(odds), 10) / 10) if odds else (0, 0, 0, 0))]
+        return np.concatenate([own, p["words"][zlib.crc32(word.encode()) % toxicity.ROWS], chars])
+
+    def states(d, x):
+        h, out = np.zeros(m), []
+        for v in x if d == "f" else x[::-1]:
+            a, g = v @ p["W" + d] + p["c" + d], h @ p["U" + d]
+            z, r = ([sigmoid(a[k + i] + g[k + i]) for i in range(m)] for k in (0, m))
+            new = [math.tanh(a[2 * m + i] + r[i] * g[2 * m + i]) for i in range(m)]
+            h = np.asarray([z[i] * h[i] + (1 - z[i]) * new[i] for i in range(m)])
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    def window(of):
+        x = [inputs(w) for w in of]
+        hidden = [np.concatenate(pair) for pair in zip(states("f", x), states("b", x))]
+        e = np.exp([np.tanh(h @ p["A"] + p["a"]) @ p["v"] for h in hidden])
+        return sigmoid(float(sum(w * h for w, h in zip(e / e.sum(), hidden)) @ p["o"] + p["b"][0]))
+
+    texts = ["Seven, old", prose(4, 30).upper(), prose(5, 64), prose(6, 150), ""]
+    for text, got in zip(texts, model.scores(pa.array(texts))):
+        of = [w.lower().strip(",") for w in text.split()]
+        begins = [0, *range(toxicity.STRIDE, len(of) - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE)]
+        assert abs(got - (max(window(of[i : i + toxicity.WINDOW]) for i in begins) if of else 0.2)) < 1e-4
+
+
+def test_training_takes_one_row_of_a_doc_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels)))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:6]
+    table = [(i, f"text {i} {k}") for i in ids for k in range(1 + 30 * (i == ids[0]))] + [(None, "no id")]
+    toxicity.train(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in ids] + [(None, 1)], "doc_id long, toxic int"))
+    assert len(seen[0][0]) == 6 and seen[0][1] == [i % 2 for i in ids]
+
+
 def test_progressive_jpeg(docs, none):
     def one(d, t):
         p = t.encode() + b" " * (-len(t.encode()) % 192 or (192 if not t else 0))
@@ -314,10 +460,12 @@ def test_scans_bit_by_bit(monkeypatch):
 
 
 def test_paragraph_sketch(docs, spark, none):
-    table = [(i, "\n".join(prose(k, 12) for k in range(i, i + 1 + i * 3))) for i in range(1, 40)] + [(50, None), (51, ""), (52, LONG), (53, LONG + "\nend"), (54, LONG)]
+    table = [(i, "\n".join(prose(k, 12) for k in range(i, i + 1 + i * 3))) for i in range(1, 40)] + [(50, None), (51, ""), (52, LONG), (53, LONG + "\nend"), (54, LONG), (55, "\n".join(f"p{i}" for i in range(3000)))]
+    table += [(60, ". ".join(prose(i, 15) for i in range(30)) + "."), (61, "no end of sentence " * 60), (62, "é!" * 900)]
     got = {r.doc_id: r for r in paragraph_sketch.fingerprints(spark.createDataFrame(table, "doc_id long, text string")).collect()}
     order = sorted(((d, t or "") for d, t in table), reverse=True)
-    parts = lambda t: {p for p in t.split("\n") if p}
+    cut = lambda p: re.findall(r"(?s).{200}[^.!?]*[.!?]+|.+\Z", p) if len(p) > 400 else [p]
+    parts = lambda t: {x for p in t.split("\n") if p for x in cut(p)}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (d, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -325,5 +473,6 @@ def test_paragraph_sketch(docs, spark, none):
         edited = t[: len(t) - n] + after[:n]
         assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert abs(got[d].near_edited - like(parts(t), parts(edited))) < 1e-9 and abs(got[d].near_next - like(parts(t), parts(after))) < 1e-9
+    assert got[60].near_edited > 0  # one long line, of which two thirds stay
     assert got[52].fingerprint == got[54].fingerprint != got[53].fingerprint
     assert paragraph_sketch.fingerprints(docs).count() == len(ROWS) and paragraph_sketch.fingerprints(none).isEmpty()
