@@ -8,6 +8,7 @@ its score is that of its worst window, and that window alone is trained on.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -203,7 +204,7 @@ class Model:
             odds = np.where(self.runs[at] == codes, self.run_odds[at], 0).astype(np.float32)
         return self.network.with_vectors(odds_inputs(seen[:, 0], seen[:, 1], odds, counts), word_rows(words), run_rows(codes), counts)
 
-    def window_logits(self, inputs: np.ndarray, codes: np.ndarray, first: np.ndarray, size: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    def window_logits(self, inputs: np.ndarray, codes: np.ndarray, first: np.ndarray, size: np.ndarray, at_once: int = 1024) -> np.ndarray:
         net, out = self.network, np.zeros(len(first), np.float32)
         projected = {d: inputs @ net.p["W" + d] + net.p["c" + d] for d in "fb"}
         order = np.argsort(size, kind="stable")
@@ -233,16 +234,18 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.asarray(labels, np.float32)
     words, codes, offsets = distinct_words(pa.array(texts, pa.string()))
     flat, counts = byte_runs(words)
+    codes = codes.astype(np.int32)
     names, word_of = np.unique(np.asarray(words, object).astype(str), return_inverse=True) if words else (np.zeros(0, str), np.zeros(0, np.int64))
     runs, run_of = np.unique(flat, return_inverse=True)
+    run_of = run_of.astype(np.int32)
     begin = np.cumsum(counts) - counts
     # (text, word) and (text, run), each once
     of_text = [np.unique(codes[a:e]) for a, e in zip(offsets, offsets[1:])]
-    in_words = [np.unique(word_of[w]) for w in of_text]
-    in_runs = [np.unique(run_of[pretokens.flat_gather(begin, counts, w)]) if len(w) else w for w in of_text]
+    in_words = (np.unique(word_of[w]) for w in of_text)
+    in_runs = (np.unique(run_of[pretokens.flat_gather(begin, counts, w)]) if len(w) else w for w in of_text)
     fold = np.arange(len(texts)) % FOLDS
 
-    def seen(parts: list[np.ndarray], n: int) -> np.ndarray:
+    def seen(parts: Iterator[np.ndarray], n: int) -> np.ndarray:
         """How many texts of each fold and label have each of n."""
         out = np.zeros((FOLDS, 2, n), np.int32)
         for f, k, p in zip(fold.tolist(), labels, parts):
@@ -273,11 +276,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         own[names == ""] = 0
         return odds_inputs(own[word_of], shown[word_of], of_run[run_of], counts), own, of_run
 
-    by_fold = np.stack([features(f)[0] for f in range(FOLDS)])
+    by_fold = np.empty((FOLDS, len(words), ODDS), np.float16)
+    for f in range(FOLDS):
+        by_fold[f] = features(f)[0]
     _, own, of_run = features(None)
     shown, kept = often(words_seen.sum(0)), np.flatnonzero(of_run)
     model = Model({str(names[i]): (float(own[i]), float(shown[i])) for i in np.flatnonzero(own)}, runs[kept], of_run[kept], Network(), base)
-    net, rows, of_runs = model.network, word_rows(words), run_rows(flat)
+    net, rows, of_runs = model.network, word_rows(words).astype(np.int32), run_rows(flat).astype(np.int32)
+    del flat, run_of, words_seen, runs_seen
     of, first, size = windows(offsets)
     by_text = [np.flatnonzero(of == i) for i in range(len(texts))]
     rng, moment, second, step = np.random.default_rng(11), {}, {}, 0
@@ -292,7 +298,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             mine = [i for i in with_words.tolist() if fold[i] == f]
             if mine:
                 own_windows = np.concatenate([by_text[i] for i in mine])
-                logits = model.window_logits(net.with_vectors(by_fold[f], rows, of_runs, counts), codes, first[own_windows], size[own_windows])
+                logits = model.window_logits(net.with_vectors(by_fold[f].astype(np.float32), rows, of_runs, counts), codes, first[own_windows], size[own_windows])
                 at = 0
                 for i in mine:
                     n = len(by_text[i])
@@ -306,7 +312,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             at = at.reshape(len(steps), len(worst))
             mine, n_runs = pretokens.flat_gather(begin, counts, used), counts[used]
             vectors = net.with_vectors(np.zeros((len(used), ODDS), np.float32), rows[used], of_runs[mine], n_runs)[:, ODDS:]
-            inputs = np.concatenate([by_fold[fold[batch][None, :], used[at]], vectors[at]], 2)
+            inputs = np.concatenate([by_fold[fold[batch][None, :], used[at]].astype(np.float32), vectors[at]], 2)
             cache: dict = {}
             logit = net.forward({d: inputs @ net.p["W" + d] + net.p["c" + d] for d in "fb"}, mask, cache)
             target = y[batch]
@@ -341,9 +347,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     by_hash = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_OF_LABEL) for k in (0, 1)]
     text = F.when(F.char_length("text") > 2 * SAMPLE_CHARS, F.concat(F.substring("text", 1, SAMPLE_CHARS), F.lit("\n"), F.expr(f"right(text, {SAMPLE_CHARS})"))).otherwise(F.col("text"))
     found = common.id_text(docs).join(F.broadcast(by_hash[0].unionByName(by_hash[1])), "doc_id").select("doc_id", "toxic", text.alias("text"))
-    rows = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()  # at most 2 * SAMPLE_OF_LABEL rows of bounded texts
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows)
-    return fit([t for _, t, _ in rows], [k for _, _, k in rows])
+    sample = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most 2 * SAMPLE_OF_LABEL rows of bounded texts
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))))
+        model = fit([t for _, t, _ in rows], [k for _, _, k in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task of an executor fits it: the driver gets the weights alone
+    row = sample.coalesce(1).mapInArrow(fitted, "model binary").first()
+    return fit([], []) if row is None else pickle.loads(row.model)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
