@@ -22,7 +22,7 @@ from . import blockdict, common
 #: Bytes of an n-gram, the least order that a shard holds, and what stands before a text.
 ORDER, LEAST, BEFORE = 5, 3, b"\n" * 4
 #: Bytes of text of a block (a longer text is a block of its own), n-grams handled at a time, blocks that a shard's task answers.
-BLOCK_BYTES, SLICE, BLOCKS_AT_ONCE = 32 << 20, 1 << 20, 512
+BLOCK_BYTES, SLICE, BLOCKS_AT_ONCE = 16 << 20, 1 << 19, 512
 #: One of so many trusted documents isn't counted but sets thresholds; their quantile; bytes beyond which a mean varies no less.
 HELD, HIGH, STEADY = 5, 0.995, 2000
 _BYTE = np.uint64(8)
@@ -193,6 +193,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 crc32=np.fromiter((zlib.crc32(data[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())), np.int64, len(lengths)), text=data,
             )
             yield pa.RecordBatch.from_arrays([pa.array([part << 24 | made]), pa.array([body], pa.binary())], names=["block", "body"])
+            del t, ids, langs, data, lang, body
+            common.trim()
 
     return common.stored(_texts(docs).mapInArrow(rows, "block long, body binary"))
 
@@ -215,6 +217,8 @@ def _model(texts: DataFrame, shards: int) -> DataFrame:
             out = [(s, _packed(codes[part], counts=blockdict.smallest(counts[part]))) for s, part in by_shard(codes, shards)]
             numbers, data = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["shard", "data"])
+            del t, codes, counts, out, data
+            common.trim()
 
     def merged(table: pa.Table) -> pa.Table:
         parts = [_unpacked(d) for d in table.column("data").to_pylist()]
@@ -252,8 +256,8 @@ def perplexities(docs: DataFrame, counted: DataFrame) -> DataFrame:
     common.bounded_batches(spark)
     shards = min(4096, max(128, 8 * common.parallelism(spark)))
     blocks = _blocks(docs)
-    # the planner broadcasts the ids only if it knows them to be few
-    wanted = counted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    # stored, so that the planner knows their size: it broadcasts the ids only if they are few
+    wanted = common.stored(counted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
     model = _model(_texts(docs).join(wanted, "doc_id", "left_semi"), shards)
     base = spark.sparkContext.broadcast(_base(model))  # 65,536 numbers
 
@@ -265,6 +269,7 @@ def perplexities(docs: DataFrame, counted: DataFrame) -> DataFrame:
                 del body
                 for s, part in by_shard(codes, shards):
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block]), pa.array([_packed(codes[part])], pa.binary())], names=["shard", "block", "data"])
+            common.trim()
 
     def answered(table: pa.Table) -> pa.Table:
         blocks, data = table.column("block").to_pylist(), table.column("data").to_pylist()
@@ -291,11 +296,14 @@ def perplexities(docs: DataFrame, counted: DataFrame) -> DataFrame:
         for (_, answer), (_, part) in zip(sorted(parts, key=lambda x: x[0]), by_shard(codes, shards)):
             log_p[part] = answer
         total = np.zeros(len(body["ids"]))
+        some = own = at = ends = None
         for some, first, sizes in grams(body["text"], body["n_bytes"]):
             own, at = np.unique(some, return_inverse=True)
             ends = np.concatenate([[0], np.cumsum(log_p[np.searchsorted(codes, own)][at])])
             stop = np.cumsum(sizes)
             total[first : first + len(sizes)] += ends[stop] - ends[stop - sizes]
+        del body["text"], some, own, at, ends
+        common.trim()
         lang = body["lang"].tobytes()
         ends = np.cumsum(body["lang_bytes"], dtype=np.int64).tolist()
         langs = [None if none else lang[a:e].decode() for a, e, none in zip([0, *ends], ends, body["lang_null"].tolist())]

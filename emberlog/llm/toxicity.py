@@ -353,6 +353,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         rows = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))))
         model = fit([t for _, t, _ in rows], [k for _, _, k in rows])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        del rows, model
+        common.trim()
 
     # one task of an executor fits it: the driver gets the weights alone
     row = sample.coalesce(1).mapInArrow(fitted, "model binary").first()
@@ -371,6 +373,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             texts = pc.fill_null(b.column(b.schema.get_field_index("text")), "")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(texts), pa.float64())], names=[*b.schema.names, "score"])
+            common.trim()
 
     return plain.mapInArrow(rows, schema)
 
@@ -386,8 +389,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with their columns, whatever these are called; nulls and repeats as in toxicity()."""
-    own = docs.select(docs["text"], F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
-    return scored(own, train(docs, labels)).where("score < 0.5").select("_row.*")
+    plain = docs.toDF(*[c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)])
+    return scored(plain, train(docs, labels)).where("score < 0.5").drop("score").toDF(*docs.columns)
 
 
 def op10_toxicity(spark, sf_dir) -> DataFrame:
