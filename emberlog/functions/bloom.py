@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -21,13 +22,21 @@ def _positions(key: Column, words: int, lookups: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(lookups)), lambda i: (part(1) + i * part(9)).bitwiseAND(F.lit(64 * words - 1)))
 
 
+def positions_of(key: str, words: int, lookups: int) -> list[int]:
+    """The bits of one key, as the columns have them."""
+    digest = hashlib.md5(key.encode()).hexdigest()  # noqa: S324
+    a, b = int(digest[:8], 16), int(digest[8:16], 16)
+    return [(a + i * b) & (64 * words - 1) for i in range(1, lookups + 1)]
+
+
 def _mask(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
 
 
 def build(keys: DataFrame, words: int, lookups: int, key: str = "key", by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., word, bits) of the filter over a key column; null keys are left out."""
-    bits = keys.where(F.col(key).isNotNull()).select(*by, F.explode(_positions(F.col(key), words, lookups)).alias("bit"))
+    # a hot key once, not its bits for each of its rows
+    bits = keys.where(F.col(key).isNotNull()).select(*by, key).distinct().select(*by, F.explode(_positions(F.col(key), words, lookups)).alias("bit"))
     return bits.groupBy(*by, F.expr("bit div 64").alias("word")).agg(F.bit_or(_mask(F.col("bit"))).alias("bits"))
 
 
@@ -39,8 +48,10 @@ def test(probes: DataFrame, filters: DataFrame, words: int, lookups: int, key: s
     return hits.select(*by, key, (F.col("n") == lookups).alias("maybe"))
 
 
-def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The filter that holds the keys of both, which must be of one size."""
+def union(a: DataFrame, b: DataFrame, words: tuple[int, int] | None = None) -> DataFrame:
+    """The filter that holds the keys of both. Given the sizes of both in words, they must be equal."""
+    if words is not None and words[0] != words[1]:
+        raise ValueError(f"filters of {words[0]} and {words[1]} words can't be united")
     return a.unionByName(b).groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
 

@@ -2,7 +2,8 @@
 
 A table is a folder of segment folders and manifest files; the manifest of the highest number is
 current. Data are written before the manifest that names them, so a crash leaves the former state, and readers
-keep the manifest they have read. One writer at a time.
+keep the manifest they have read. One writer at a time: of two, one fails. Each segment has a sparse index (the first key
+and the place of every block of its files) and a Bloom filter, both stored, so a lookup reads few blocks.
 """
 
 from __future__ import annotations
@@ -15,25 +16,32 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions import bloom
 from emberlog.functions.codec import entry_bytes
 from emberlog.operators import changelog
 
 SCHEMA = "key string, seq long, ts timestamp, value binary, content_type string, deleted boolean"
+STORED = SCHEMA + ", file_no long"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_levels: merging into it compacts in place; segments, bytes, seconds: what makes merges due (0: never)."""
+    """max_levels: merging into it compacts in place; segments, bytes, seconds: what makes merges due (0: never).
+
+    keys_of_segment: a merge makes segments of so many keys and one more (0: one segment); keys_of_block: of the sparse
+    index; one_in: a Bloom filter passes fewer than one in so many keys that a segment doesn't have."""
 
     max_levels: int = 4
     segments_of_level: int = 4
     level_bytes: int = 0
     window_seconds: int = 0
+    keys_of_segment: int = 0
     keys_of_block: int = 100
+    one_in: int = 200
 
 
 class Manifest:
-    """Which segments each level has, and the highest sequence number in them."""
+    """Which segments each level has, and which batch of each source was applied last."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -48,22 +56,33 @@ class Manifest:
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def read(self) -> list[dict]:
+    def state(self) -> dict:
         numbers = self._numbers()
         if not numbers:
-            return []
+            return {"number": 0, "segments": [], "batches": {}}
         rows = self.spark.read.text(f"{self.path}/manifest-{numbers[-1]}.json", wholetext=True).collect()  # one row
-        return json.loads(rows[0][0])
+        return {"number": numbers[-1], **json.loads(rows[0][0])}
+
+    def read(self) -> list[dict]:
+        return self.state()["segments"]
 
-    def publish(self, segments: list[dict]) -> None:
-        """Written under another name and renamed, which is the commit; fails if another writer was first."""
-        number = (self._numbers() or [0])[-1] + 1
+    def publish(self, was: dict, segments: list[dict], batches: dict | None = None) -> None:
+        """Follow the state ``was``. Written under another name, then renamed without overwriting, which is the commit:
+        it fails if another writer was first. The file system's rename must be atomic."""
+        number = was["number"] + 1
         new = self._at(f".{uuid.uuid4().hex}")
         out = self.files.create(new, False)
-        out.write(bytearray(json.dumps(segments).encode()))
+        out.write(bytearray(json.dumps({"segments": segments, "batches": was["batches"] if batches is None else batches}).encode()))
         out.close()
-        if self.files.exists(self._at(f"manifest-{number}.json")) or not self.files.rename(new, self._at(f"manifest-{number}.json")):
-            raise RuntimeError("another writer has published a manifest")
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.files.getUri(), self.spark._jsc.hadoopConfiguration())
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        never = gateway.new_array(option, 1)
+        never[0] = option.NONE
+        try:
+            context.rename(new, self._at(f"manifest-{number}.json"), never)
+        except Exception as e:
+            raise RuntimeError("another writer has published a manifest") from e
 
 
 class LogTable:
@@ -79,104 +98,184 @@ class LogTable:
     def highest_level(self) -> int:
         return max((s["level"] for s in self.manifest.read()), default=-1)
 
-    def _read(self, segments: list[dict]) -> DataFrame:
-        if not segments:
-            return self.spark.createDataFrame([], SCHEMA)
-        return reduce(DataFrame.unionByName, (self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{s['name']}") for s in segments))
-
-    def _write(self, rows: DataFrame, level: int, parts: int | None) -> dict:
-        """One segment: sorted files of disjoint key ranges, and what the manifest keeps of it."""
-        name = f"segment-{uuid.uuid4().hex}"
-        ordered = rows.repartitionByRange(parts, "key") if parts else rows.coalesce(1)
-        ordered.sortWithinPartitions("key").write.parquet(f"{self.path}/{name}")
-        facts = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}").agg(
+    def _read(self, segments: list[dict], schema: str = STORED, kind: str = "") -> DataFrame:
+        """Rows of segments: each folder once, of it the files that are wanted (their number is a partition)."""
+        roots: dict[str, list[int]] = {}
+        for s in segments:
+            if s["entries"]:
+                roots.setdefault(s["root"], []).append(s["file"])
+        if not roots:
+            return self.spark.createDataFrame([], schema)
+        read = lambda r: self.spark.read.schema(schema).parquet(f"{self.path}/{r}{kind}")
+        return reduce(DataFrame.unionByName, (read(r).where(F.col("file_no").isin(n)) for r, n in roots.items()))
+
+    def _write(self, rows: DataFrame, level: int) -> list[dict]:
+        """A segment for each file_no of rows (of distinct keys within it), in files sorted by key; what the manifest keeps of them."""
+        root = f"segment-{uuid.uuid4().hex}"
+        ordered = rows.repartitionByRange("file_no", "key").sortWithinPartitions("file_no", "key")  # as many tasks as the size needs
+        ordered.write.partitionBy("file_no").parquet(f"{self.path}/{root}")
+        written = self.spark.read.schema(STORED).parquet(f"{self.path}/{root}")
+        facts = written.groupBy("file_no").agg(
             F.count(F.lit(1)).alias("entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.max("seq").alias("max_seq"),
             F.sum(entry_bytes(F.col("key"), F.col("value"))).alias("bytes"), F.max(F.unix_timestamp("ts")).alias("max_ts"),
-        ).first()
-        return {"name": name, "level": level, **facts.asDict()}
-
-    def apply(self, batch: DataFrame) -> None:
-        """Flush a batch (key, seq, ts, value, content_type, deleted): rows not above the high-water mark were applied before."""
-        mark = self.high_water()
-        fresh = batch.where(F.col("seq") > mark)
-        rows = fresh.groupBy("key").agg(F.max_by(F.struct(*fresh.columns), "seq").alias("v")).select("v.*")
-        segment = self._write(rows, 0, None)
-        if segment["entries"]:
-            self.manifest.publish([segment, *self.manifest.read()])
+        ).collect()  # fmt: skip  # a row for each segment, as the manifest has
+        if not facts:
+            self.manifest.files.delete(self.manifest._at(root), True)
+            return []
+        words, lookups = bloom.size_for(max(f["entries"] for f in facts), self.settings.one_in)
+        self._index(written, root, words, lookups)
+        return [{"root": root, "file": f["file_no"], "level": level, "words": words, "lookups": lookups, **{k: v for k, v in f.asDict().items() if k != "file_no"}} for f in sorted(facts, key=lambda f: f["file_no"])]
+
+    def _index(self, written: DataFrame, root: str, words: int, lookups: int) -> None:
+        """Store the sparse index and the Bloom filters of segments, sorted by segment, so that a reader skips the others'."""
+        block = (F.col("_metadata.row_index") / self.settings.keys_of_block).cast("long")
+        index = written.groupBy("file_no", F.col("_metadata.file_name").alias("file"), block.alias("block")).agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count(F.lit(1)).alias("entries"))
+        index.repartitionByRange("file_no", "first_key").sortWithinPartitions("file_no", "first_key").write.parquet(f"{self.path}/{root}.index")
+        filters = bloom.build(written, words, lookups, by=("file_no",))
+        filters.repartitionByRange("file_no", "word").sortWithinPartitions("file_no", "word").write.parquet(f"{self.path}/{root}.bloom")
+
+    def sparse_index(self, segments: list[dict] | None = None) -> DataFrame:
+        """(file_no, file, block, first_key, last_key, entries) of the blocks of segments, all by default."""
+        return self._read(self.manifest.read() if segments is None else segments, "file string, block long, first_key string, last_key string, entries long, file_no long", ".index")
+
+    def maybe(self, keys: list[str]) -> dict[str, list[dict]]:
+        """For each key the segments that may have it, by their key ranges and Bloom filters, newest level first."""
+        near = {k: [s for s in self.manifest.read() if s["entries"] and s["min_key"] <= k <= s["max_key"]] for k in keys}
+        asked: dict[str, tuple[dict, set[int]]] = {}
+        for k, of in near.items():
+            for s in of:
+                asked.setdefault(s["root"], (s, set()))[1].update(p // 64 for p in bloom.positions_of(k, s["words"], s["lookups"]))
+        reads = []
+        for root, (_, words) in asked.items():
+            files = sorted({s["file"] for of in near.values() for s in of if s["root"] == root})
+            filters = self.spark.read.schema("word long, bits long, file_no long").parquet(f"{self.path}/{root}.bloom")
+            reads.append(filters.where(F.col("file_no").isin(files) & F.col("word").isin(sorted(words))).withColumn("root", F.lit(root)))
+        found = {(r.root, r.file_no, r.word): r.bits for r in (reduce(DataFrame.unionByName, reads).collect() if reads else [])}  # a few words for each key and segment
+        has = lambda k, s: all(found.get((s["root"], s["file"], p // 64), 0) >> (p % 64) & 1 for p in bloom.positions_of(k, s["words"], s["lookups"]))
+        return {k: sorted((s for s in of if has(k, s)), key=lambda s: s["level"]) for k, of in near.items()}
+
+    def _latest(self, rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by, "key").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in by]), "seq").alias("v")).select(*by, "v.*")
+
+    def load(self, rows: DataFrame, level: int = 0) -> None:
+        """Flush rows (key, seq, ts, value, content_type, deleted, file_no): the latest of each key of each file_no, a segment for each."""
+        was = self.manifest.state()
+        segments = self._write(self._latest(rows, "file_no"), level)
+        if segments:
+            self.manifest.publish(was, [*segments, *was["segments"]])
+
+    def apply(self, batch: DataFrame, source: str | None = None, number: int | None = None) -> bool:
+        """Flush a batch (key, seq, ts, value, content_type, deleted) as a level 0 segment; rows may come in any order.
+
+        A batch of a source that has a number is applied once: one not above the last of that source changes nothing.
+        Returns whether it was applied. Rows older than a tombstone that a merge has dropped would show again."""
+        was = self.manifest.state()
+        if source is not None and number <= was["batches"].get(source, -1):
+            return False
+        segments = self._write(self._latest(batch).withColumn("file_no", F.lit(0).cast("long")), 0)
+        batches = was["batches"] if source is None else {**was["batches"], source: number}
+        if segments or batches != was["batches"]:
+            self.manifest.publish(was, [*segments, *was["segments"]], batches)
+        return True
 
     def _rows(self, records: list[tuple]) -> DataFrame:
         mark = self.high_water()
         typed = [(k, mark + 1 + i, v, c, d) for i, (k, v, c, d) in enumerate(records)]
         return self.spark.createDataFrame(typed, "key string, seq long, value binary, content_type string, deleted boolean").withColumn("ts", F.current_timestamp())
 
+    def write(self, changes: list[tuple[str, bytes | None, str | None, bool]]) -> None:
+        """Flush a few changes (key, value, content type, deleted), in order."""
+        self.apply(self._rows([(k, None if v is None else bytearray(v), c, d) for k, v, c, d in changes]))
+
     def put(self, entries: dict[str, bytes], content_type: str | None = None) -> None:
-        self.apply(self._rows([(k, bytearray(v), content_type, False) for k, v in entries.items()]))
+        self.write([(k, v, content_type, False) for k, v in entries.items()])
 
     def delete(self, keys: list[str]) -> None:
         """Tombstones; those of unknown keys are written too."""
-        self.apply(self._rows([(k, None, None, True) for k in keys]))
+        self.write([(k, None, None, True) for k in keys])
 
     def log(self) -> DataFrame:
-        return self._read(self.manifest.read())
+        return self._read(self.manifest.read()).drop("file_no")
 
     def snapshot(self) -> DataFrame:
         return changelog.snapshot(self.log())
 
+    def entry(self, key: str):
+        """The live row (key, value, content_type) or None. Key ranges, Bloom filters and the sparse index say which blocks
+        of which files may have the key; nothing else is read."""
+        near = self.maybe([key])[key]
+        blocks = self.sparse_index(near).where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("file", "block").collect()  # one for each segment at most
+        if not blocks:
+            return None
+        size = self.settings.keys_of_block
+        in_block = reduce(lambda a, b: a | b, ((F.col("_metadata.file_name") == b.file) & F.col("_metadata.row_index").between(b.block * size, (b.block + 1) * size - 1) for b in blocks))
+        by_root: dict[str, list[dict]] = {}
+        for s in near:
+            by_root.setdefault(s["root"], []).append(s)
+        rows = reduce(DataFrame.unionByName, (self._read(of).where((F.col("key") == key) & in_block) for of in by_root.values()))
+        found = rows.groupBy("key").agg(F.max_by(F.struct("value", "content_type", "deleted"), "seq").alias("v")).select("key", "v.*").first()
+        return None if found is None or found.deleted else found
+
     def get(self, key: str) -> bytes | None:
-        """The live value; only segments whose key range has the key are read."""
-        near = [s for s in self.manifest.read() if s["min_key"] <= key <= s["max_key"]]
-        row = changelog.get(self._read(near), key).select("value").first()
-        return None if row is None else bytes(row[0] or b"")
+        """The live value, empty ones too; None for a deleted or unknown key."""
+        row = self.entry(key)
+        return None if row is None else bytes(row.value or b"")
 
     def exists(self, key: str) -> bool:
-        return self.get(key) is not None
+        return self.entry(key) is not None
 
     def increment(self, key: str) -> int:
         """0 at first or after a delete, else one more; stored in four bytes."""
-        old = self.get(key)
-        if old is not None and len(old) != 4:
-            raise ValueError(f"{key!r} holds no counter")
-        n = 0 if old is None else (int.from_bytes(old, "little") + 1) % (1 << 32)
+        n = next_count(key, self.get(key))
         self.put({key: n.to_bytes(4, "little")})
         return n
 
-    def _rewrite(self, taken: list[dict], target: int, drop_tombstones: bool) -> None:
-        rows = self._read(taken)
-        rows = rows.groupBy("key").agg(F.max_by(F.struct(*rows.columns), "seq").alias("v")).select("v.*")
+    def _rewrite(self, was: dict, taken: list[dict], target: int, drop_tombstones: bool) -> None:
+        rows = self._latest(self._read(taken).drop("file_no"))
+        if self.settings.keys_of_segment:  # places count tombstones too
+            rows = changelog.placed(rows).withColumn("file_no", F.expr(f"place div {self.settings.keys_of_segment + 1}")).drop("place")
+        else:
+            rows = rows.withColumn("file_no", F.lit(0).cast("long"))
         rows = rows.where("not deleted") if drop_tombstones else rows
-        names = {s["name"] for s in taken}
+        segments = self._write(rows, target)
+        if not segments:  # a level stays a level
+            segments = [{"root": "none", "file": 0, "level": target, "words": 1, "lookups": 1, "entries": 0, "min_key": "", "max_key": "", "bytes": 0, "max_ts": None}]
         mark = max(s["max_seq"] for s in taken)
-        parts = max(1, sum(s["bytes"] or 0 for s in taken) // (128 << 20))
-        segment = self._write(rows, target, parts)
-        segment["max_seq"] = mark  # dropped tombstones must not be replayed
-        segment["min_key"], segment["max_key"] = segment["min_key"] or "", segment["max_key"] or ""
-        self.manifest.publish([s for s in self.manifest.read() if s["name"] not in names] + [segment])
+        gone = {(s["root"], s["file"], s["level"]) for s in taken}
+        kept = [s for s in was["segments"] if (s["root"], s["file"], s["level"]) not in gone]
+        self.manifest.publish(was, kept + [{**s, "max_seq": mark} for s in segments])
 
     def merge(self, level: int) -> None:
         """All segments of a level and the next into the next; tombstones go if the level is the highest before."""
-        segments, highest = self.manifest.read(), self.highest_level()
+        was = self.manifest.state()
+        highest = max((s["level"] for s in was["segments"]), default=-1)
         if level < 0 or level > highest:
             raise ValueError(f"no level {level}")
         if level > 0 and level == self.settings.max_levels:
             return self.compact(level)
-        self._rewrite([s for s in segments if s["level"] in (level, level + 1)], level + 1, level == highest)
+        self._rewrite(was, [s for s in was["segments"] if s["level"] in (level, level + 1)], level + 1, level == highest)
 
     def compact(self, level: int) -> None:
         """Rewrite one level in place; level 0 can't be."""
-        if level < 1 or level > self.highest_level():
+        was = self.manifest.state()
+        highest = max((s["level"] for s in was["segments"]), default=-1)
+        if level < 1 or level > highest:
             raise ValueError(f"can't compact level {level}")
-        self._rewrite([s for s in self.manifest.read() if s["level"] == level], level, level == self.highest_level())
+        self._rewrite(was, [s for s in was["segments"] if s["level"] == level], level, level == highest)
 
-    def due(self, now: int | None = None) -> list[int]:
-        """Levels whose number of segments, bytes or age make a merge due."""
+    def levels(self) -> dict[int, list[dict]]:
         by: dict[int, list[dict]] = {}
         for s in self.manifest.read():
             by.setdefault(s["level"], []).append(s)
+        return dict(sorted(by.items()))
+
+    def due(self, now: int | None = None) -> list[int]:
+        """Levels whose number of segments, bytes or age make a merge due."""
         x = self.settings
         many = lambda i, of: x.segments_of_level and len(of) > x.segments_of_level * (i + 1)
         large = lambda of: x.level_bytes and sum(s["bytes"] or 0 for s in of) > x.level_bytes
         old = lambda of: x.window_seconds and now is not None and max(s["max_ts"] or 0 for s in of) < now - x.window_seconds
-        return [i for i, of in sorted(by.items()) if many(i, of) or large(of) or old(of)]
+        return [i for i, of in self.levels().items() if many(i, of) or large(of) or old(of)]
 
     def run_due(self, now: int | None = None) -> None:
         for level in self.due(now):
@@ -184,16 +283,23 @@ class LogTable:
 
     def reset(self) -> None:
         """Everything goes: the next manifest has no segments. vacuum() removes the files."""
-        self.manifest.publish([])
+        self.manifest.publish(self.manifest.state(), [])
 
     def vacuum(self) -> int:
-        """Remove segment folders that the current manifest doesn't name; returns how many."""
-        named, gone = {s["name"] for s in self.manifest.read()}, 0
+        """Remove folders that the current manifest doesn't name; returns of how many segment folders."""
+        named, gone = {s["root"] for s in self.manifest.read()}, 0
         for f in self.manifest.files.listStatus(self.manifest.root):
             name = f.getPath().getName()
-            if name.startswith("segment-") and name not in named:
-                gone += bool(self.manifest.files.delete(f.getPath(), True))
+            if name.startswith("segment-") and name.split(".")[0] not in named:
+                gone += bool(self.manifest.files.delete(f.getPath(), True)) and "." not in name
         return gone
 
     def stats(self) -> DataFrame:
         return self.snapshot().agg(F.count(F.lit(1)).alias("entries"), F.min("key").alias("first"), F.max("key").alias("last"))
+
+
+def next_count(key: str, stored: bytes | None) -> int:
+    """What an increment of a counter stored as four bytes, or not at all, gives."""
+    if stored is not None and len(stored) != 4:
+        raise ValueError(f"{key!r} holds no counter")
+    return 0 if stored is None else (int.from_bytes(stored, "little") + 1) % (1 << 32)

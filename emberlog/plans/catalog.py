@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import bloom, codec
 from emberlog.operators import changelog
-from emberlog.sources import wal
+from emberlog.operators.segments import LogTable, Settings
+from emberlog.sources import scratch, wal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,13 +60,20 @@ def l0(spark, sf_dir) -> DataFrame:
     return events_kv(spark, sf_dir).withColumn("file_id", F.expr("seq div 1000"))
 
 
-def ranked(keys: DataFrame) -> DataFrame:
-    """Rows of distinct keys with their place (from 0) in key order: places within ranges, after the sizes of those before."""
-    parts = keys.repartitionByRange(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").withColumn("part", F.spark_partition_id())
-    inner = parts.withColumn("inner", F.row_number().over(Window.partitionBy("part").orderBy("key")).cast("long") - 1)
-    sizes = inner.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
-    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
-    return inner.join(F.broadcast(starts), "part").withColumn("place", F.col("start") + F.col("inner")).drop("part", "inner", "start")
+def segments_of(log: DataFrame) -> DataFrame:
+    """A changelog (key, seq, value, deleted and what else a table may lack) as rows that a table loads."""
+    missing = {"ts": F.lit(None).cast("timestamp"), "content_type": F.lit(None).cast("string"), "file_no": F.col("file_id") if "file_id" in log.columns else F.lit(0)}
+    for name, value in missing.items():
+        log = log if name in log.columns else log.withColumn(name, value)
+    return log.select("key", "seq", "ts", F.col("value").cast("binary").alias("value"), "content_type", "deleted", F.col("file_no").cast("long").alias("file_no"))
+
+
+def new_table(spark: SparkSession, settings: Settings | None = None) -> LogTable:
+    return LogTable(spark, scratch.folder(spark), settings)
+
+
+def text_values(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumn("value", F.col("value").cast("string")).select(*columns)
 
 
 @query("kv_snapshot", f"WITH {LATEST} SELECT * FROM snap")
@@ -128,7 +134,7 @@ def kv_stats(spark, sf_dir):
 
 @query("kv_sorted_keys", f"WITH {LATEST} SELECT key, row_number() OVER (ORDER BY key) - 1 AS place FROM snap")
 def kv_sorted_keys(spark, sf_dir):
-    return ranked(kv_snapshot(spark, sf_dir)).select("key", "place")
+    return changelog.placed(kv_snapshot(spark, sf_dir)).select("key", "place")
 
 
 @query("wal_replay", f"WITH {LOG} SELECT * FROM log WHERE seq > (SELECT max(seq) - 1000 FROM log)")
@@ -146,7 +152,10 @@ def wal_json_roundtrip(spark, sf_dir):
 
 @query("flush_l0", f"WITH {LOG}{FILES} SELECT file_id, key, seq, value, deleted FROM l0 QUALIFY row_number() OVER (PARTITION BY file_id, key ORDER BY seq DESC) = 1")
 def flush_l0(spark, sf_dir):
-    return l0(spark, sf_dir).groupBy("file_id", "key").agg(F.max_by(F.struct(*changelog.VERSION), "seq").alias("v")).select("file_id", "key", "v.*")
+    """A flush for each thousand sequence numbers, as a table stores them."""
+    table = new_table(spark)
+    table.load(segments_of(l0(spark, sf_dir)))
+    return text_values(table._read(table.manifest.read()).withColumnRenamed("file_no", "file_id"), "file_id", "key", "seq", "value", "deleted")
 
 
 @query("l0_overlap", f"WITH {LOG}{FILES}, r AS (SELECT file_id, min(key) AS lo, max(key) AS hi FROM l0 GROUP BY 1) SELECT a.file_id AS a, b.file_id AS b FROM r a JOIN r b ON a.file_id < b.file_id AND a.lo <= b.hi AND b.lo <= a.hi")
@@ -158,25 +167,37 @@ def l0_overlap(spark, sf_dir):
 
 @query("merge_l0_l1", f"WITH {LATEST} SELECT * FROM latest")
 def merge_l0_l1(spark, sf_dir):
-    """The first half compacted is level 1, the files of the rest are level 0: merged, tombstones kept."""
-    log = events_kv(spark, sf_dir)
+    """The first half is level 1, the files of the rest are level 0: merged, tombstones kept."""
+    return text_values(_merged(spark, sf_dir).log(), "key", *changelog.VERSION)
+
+
+def _merged(spark, sf_dir) -> LogTable:
+    log = l0(spark, sf_dir)
     half = log.agg(F.expr("max(seq) div 2").alias("half"))
-    parts = log.join(F.broadcast(half)).withColumn("old", F.col("seq") <= F.col("half"))
-    level1 = changelog.latest(parts.where("old").select("key", *changelog.VERSION))
-    level0 = parts.where("not old").groupBy(F.expr("seq div 1000"), "key").agg(F.max_by(F.struct(*changelog.VERSION), "seq").alias("v")).select("key", "v.*")
-    return changelog.latest(level0.unionByName(level1))
+    parts = log.join(F.broadcast(half))  # one row
+    table = new_table(spark)
+    table.load(segments_of(parts.where("seq <= half").withColumn("file_id", F.lit(0))), 1)
+    table.load(segments_of(parts.where("seq > half")))
+    table.merge(0)
+    return table
 
 
 @query("compact_level", f"WITH {LATEST} SELECT * FROM snap")
 def compact_level(spark, sf_dir):
     """The highest level rewritten: tombstones go."""
-    return merge_l0_l1(spark, sf_dir).where("not deleted").select("key", "seq", "value")
+    table = _merged(spark, sf_dir)
+    table.compact(1)
+    return text_values(table.log(), "key", "seq", "value")
 
 
 @query("merge_layout", f"WITH {LATEST}, p AS (SELECT key, (row_number() OVER (ORDER BY key) - 1) // {FILE_KEYS} AS file_no FROM snap) SELECT file_no, count(*) AS keys, min(key) AS first, max(key) AS last FROM p GROUP BY 1")
 def merge_layout(spark, sf_dir):
-    placed = ranked(kv_snapshot(spark, sf_dir)).withColumn("file_no", F.expr(f"place div {FILE_KEYS}"))
-    return placed.groupBy("file_no").agg(F.count(F.lit(1)).alias("keys"), F.min("key").alias("first"), F.max("key").alias("last"))
+    """The segments of a merge of live entries: one key more than asked for in each."""
+    table = new_table(spark, Settings(keys_of_segment=FILE_KEYS - 1))
+    table.load(segments_of(kv_snapshot(spark, sf_dir).withColumn("deleted", F.lit(False))))
+    table.merge(0)
+    rows = [(s["file"], s["entries"], s["min_key"], s["max_key"]) for s in table.manifest.read()]  # as many as the manifest has
+    return spark.createDataFrame(rows, "file_no long, keys long, first string, last string")
 
 
 @query("merge_invariance", "SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b")
@@ -186,8 +207,12 @@ def merge_invariance(spark, sf_dir):
 
 @query("merge_policy", "WITH f AS (SELECT CASE WHEN event_id // 1000 % 4 = 3 THEN 1 ELSE 0 END AS level, event_id // 1000 AS file_id FROM events GROUP BY ALL) SELECT level, count(*) AS files, count(*) > 2 * (level + 1) AS due FROM f GROUP BY level")
 def merge_policy(spark, sf_dir):
-    files = events(spark, sf_dir).select(F.expr("event_id div 1000").alias("file_id")).distinct().withColumn("level", F.when(F.col("file_id") % 4 == 3, 1).otherwise(0))
-    return files.groupBy("level").agg(F.count(F.lit(1)).alias("files")).withColumn("due", F.col("files") > 2 * (F.col("level") + 1))
+    """Which levels of a table are due, one in four of its flushes being of level 1."""
+    table, log = new_table(spark, Settings(segments_of_level=2)), l0(spark, sf_dir)
+    for level in (0, 1):
+        table.load(segments_of(log.where((F.col("file_id") % 4 == 3) == F.lit(level == 1))), level)
+    due = table.due()
+    return spark.createDataFrame([(i, len(of), i in due) for i, of in table.levels().items()], "level int, files long, due boolean")
 
 
 @query("level_data_size", f"WITH {LOG}{FILES} SELECT file_id, count(*) AS entries, CAST(sum(9 + strlen(key) + strlen(value)) AS BIGINT) AS bytes, sum(9 + strlen(key) + strlen(value)) > 20000 AS due FROM l0 GROUP BY 1")
@@ -212,13 +237,9 @@ _INDEX = f"WITH {LATEST}, e AS (SELECT key, row_number() OVER (ORDER BY key) - 1
 
 
 def _entries(spark, sf_dir) -> DataFrame:
-    """Entries of one merged file in key order, with place and byte offset."""
-    placed = ranked(changelog.latest(events_kv(spark, sf_dir))).withColumn("size", codec.entry_bytes(F.col("key"), F.col("value")))
-    block = placed.withColumn("block_no", F.expr("place div 10"))
-    sums = block.groupBy("block_no").agg(F.sum("size").alias("bytes"))  # the sparse index itself: a tenth of the keys
-    starts = sums.select("block_no", (F.sum("bytes").over(Window.orderBy("block_no")) - F.col("bytes")).alias("start"))
-    before = F.sum("size").over(Window.partitionBy("block_no").orderBy("place")) - F.col("size")
-    return block.join(starts, "block_no").withColumn("byte_offset", F.col("start") + before)
+    """Entries of one merged file in key order, with place, byte offset and block."""
+    placed = changelog.placed(changelog.latest(events_kv(spark, sf_dir)), codec.entry_bytes(F.col("key"), F.col("value")))
+    return placed.withColumn("block_no", F.expr("place div 10"))
 
 
 @query("sparse_index", f"{_INDEX} SELECT place // 10 AS block_no, key, byte_offset FROM e WHERE place % 10 = 0")
@@ -256,7 +277,7 @@ def _halves(spark, sf_dir) -> list[DataFrame]:
 
 @query("bloom_union", f"WITH {LOG} {_bits('SELECT DISTINCT key FROM log')}")
 def bloom_union(spark, sf_dir):
-    return bloom.union(*_halves(spark, sf_dir))
+    return bloom.union(*_halves(spark, sf_dir), words=(WORDS, WORDS))
 
 
 @query("bloom_estimate", f"WITH {LOG}, f AS ({_bits('SELECT DISTINCT key FROM log')}), c AS (SELECT CAST(sum(bit_count(bits)) AS BIGINT) AS bits_set FROM f) SELECT bits_set, CAST(round(4096 / 8 * ln(4096.0 / (4096 - bits_set))) AS BIGINT) AS keys FROM c")
@@ -295,10 +316,10 @@ SELECT event_id, path, method, CASE WHEN method = 'GET' AND COALESCE(state, 0) =
 def http_replay(spark, sf_dir):
     method = F.when(F.col("event_type") == "error", "DELETE").when(F.col("event_type") == "view", "GET").when(F.col("event_type") == "signup", "OPTIONS").otherwise("PUT")
     requests = events(spark, sf_dir).select("event_id", F.concat(F.lit("/kv/"), F.col("user_id").cast("string")).alias("path"), method.alias("method"))
-    before = Window.partitionBy("path").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    state = F.last(F.when(F.col("method") == "PUT", 1).when(F.col("method") == "DELETE", 0), ignorenulls=True).over(before)
-    status = F.when((F.col("method") == "GET") & (F.coalesce(state, F.lit(0)) == 0), 404).otherwise(200)
-    return requests.withColumn("status", status)
+    state = F.when(F.col("method") == "PUT", 1).when(F.col("method") == "DELETE", 0)
+    known = changelog.state_before(requests.withColumn("state", state), "path", "event_id", "state")
+    status = F.when((F.col("method") == "GET") & (F.coalesce("before", F.lit(0)) == 0), 404).otherwise(200)
+    return known.select("event_id", "path", "method", status.alias("status"))
 
 
 @query("dump_bin", f"{_INDEX} SELECT place, key, seq, value FROM e")
@@ -318,8 +339,57 @@ def deep_compare(spark, sf_dir):
 
 @query("datagen_load", "SELECT CAST(i AS VARCHAR) AS key, CAST(i AS VARCHAR) AS value, i // 1025 AS file_id FROM range(150000) t(i)")
 def datagen_load(spark, sf_dir):
-    text = F.col("id").cast("string")
-    return spark.range(150_000).select(text.alias("key"), text.alias("value"), F.expr("id div 1025").alias("file_id"))
+    """A bulk load, flushed at 1025 keys."""
+    text, table = F.col("id").cast("string"), new_table(spark)
+    rows = spark.range(150_000).select(text.alias("key"), F.col("id").alias("seq"), text.alias("value"), F.lit(False).alias("deleted"), F.expr("id div 1025").alias("file_id"))
+    table.load(segments_of(rows))
+    return text_values(table._read(table.manifest.read()).withColumnRenamed("file_no", "file_id"), "key", "value", "file_id")
+
+
+@query("segment_lookup", f"WITH {LATEST}, p AS (SELECT CAST(i AS VARCHAR) AS key FROM range(0, 300, 25) t(i)) SELECT p.key, value FROM p LEFT JOIN snap USING (key)")
+def segment_lookup(spark, sf_dir):
+    """Point lookups in a table of many flushes, by key ranges, Bloom filters and sparse index."""
+    table = new_table(spark, Settings(keys_of_block=10))
+    table.load(segments_of(l0(spark, sf_dir)))
+    keys = [str(i) for i in range(0, 300, 25)]
+    values = {k: table.get(k) for k in keys}
+    return spark.createDataFrame([(k, None if v is None else v.decode()) for k, v in values.items()], "key string, value string")
+
+
+@query("segment_skip", f"WITH {LOG}{FILES}, p AS (SELECT CAST(i AS VARCHAR) AS key FROM range(0, 300, 5) t(i)), h AS (SELECT key, count(DISTINCT file_id) AS holding FROM l0 GROUP BY 1) SELECT p.key, COALESCE(holding, 0) AS holding, true AS all_kept FROM p LEFT JOIN h USING (key)")
+def segment_skip(spark, sf_dir):
+    """Of each key the segments that hold it, all of which its lookup must read; a filter only skips others."""
+    table, log = new_table(spark), l0(spark, sf_dir)
+    table.load(segments_of(log))
+    keys = [str(i) for i in range(0, 300, 5)]
+    read = spark.createDataFrame([(k, s["file"]) for k, of in table.maybe(keys).items() for s in of] or [(None, None)], "key string, file_id long")
+    held = log.where(F.col("key").isin(keys)).select("key", "file_id").distinct().join(read.withColumn("read", F.lit(True)), ["key", "file_id"], "left")
+    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("holding"), F.bool_and(F.coalesce("read", F.lit(False))).alias("all_kept"))
+    asked = spark.createDataFrame([(k,) for k in keys], "key string")
+    return asked.join(counts, "key", "left").select("key", F.coalesce("holding", F.lit(0)).alias("holding"), F.coalesce("all_kept", F.lit(True)).alias("all_kept"))
+
+
+@query("segment_index", f"WITH {LATEST}, e AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS place FROM latest) SELECT CAST(sum(n) AS BIGINT) AS entries, min(first) AS first_key, max(last) AS last_key FROM (SELECT place // 10 AS block, count(*) AS n, min(key) AS first, max(key) AS last FROM e GROUP BY 1)")
+def segment_index(spark, sf_dir):
+    """What the stored sparse index of a merged table covers."""
+    table = new_table(spark, Settings(keys_of_block=10))
+    table.load(segments_of(changelog.latest(events_kv(spark, sf_dir))))
+    return table.sparse_index().agg(F.sum("entries").alias("entries"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+
+
+@query("append_log_get", "SELECT '/kv/' || url AS key, html AS value, 'text/html' AS content_type FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1")
+def append_log_get(spark, sf_dir):
+    """Pages through lines of the older log format and back; the last line of a key decides."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("/kv/"), "url").alias("key"), F.col("html").cast("binary").alias("value"), F.lit("text/html").alias("content_type"), F.lit(False).alias("deleted"))
+    last = pages.groupBy("key").agg(F.max_by(F.struct("value", "content_type", "deleted"), "page_id").alias("v")).select("key", "v.*")
+    back = wal.from_append_lines(wal.to_append_lines(last)).where("bad is null and not deleted")
+    return back.select("key", F.col("value").cast("string").alias("value"), "content_type")
+
+
+@query("httpgen_requests", "SELECT CAST(i AS VARCHAR) AS id, 'POST' AS method, '/kv/' || i AS path FROM range(100000) t(i)")
+def httpgen_requests(spark, sf_dir):
+    """The requests of the load generator, as a service gets them."""
+    return spark.range(100_000).select(F.col("id").cast("string").alias("id"), F.lit("POST").alias("method"), F.concat(F.lit("/kv/"), F.col("id").cast("string")).alias("path"))
 
 
 def _stream(spark, sf_dir) -> DataFrame:
@@ -328,17 +398,12 @@ def _stream(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").cast("binary").alias("value"), F.lit(None).cast("string").alias("content_type"), (F.col("event_type") == "error").alias("deleted"))
 
 
-def _folder(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()) + f"/stream-{uuid.uuid4().hex}"
-
-
 @query("stream_snapshot", f"WITH {LATEST} SELECT * FROM snap")
 def stream_snapshot(spark, sf_dir):
     """The stream flushed into a table by micro-batches; its snapshot."""
-    from emberlog.operators.segments import LogTable
     from emberlog.streaming import ingest
 
-    folder = _folder(spark)
+    folder = scratch.folder(spark)
     table = LogTable(spark, f"{folder}/table")
     ingest.into_table(_stream(spark, sf_dir), table, f"{folder}/checkpoint").awaitTermination()
     return table.snapshot().select("key", "seq", F.col("value").cast("string").alias("value"))
@@ -349,7 +414,7 @@ def stream_counter(spark, sf_dir):
     """Counters kept in a stream's state store, written as it goes."""
     from emberlog.streaming import ingest
 
-    folder, key = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    folder, key = scratch.folder(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ingest.ROCKSDB)
     try:

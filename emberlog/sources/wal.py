@@ -31,10 +31,41 @@ def write(log: DataFrame, path: str) -> None:
     to_lines(log).write.mode("append").text(path)
 
 
-def read_append_log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (key, value, content_type, deleted) of the older log format; lines that can't be read are left out."""
-    rows = spark.read.schema(APPEND_LINE).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").select(F.col("Key").alias("key"), F.unbase64("Data").alias("value"), F.col("ContentType").alias("content_type"), F.col("Deleted").alias("deleted"))
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it has it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def reset(spark: SparkSession, path: str) -> bool:
+    """Remove a log (of either format) with all its lines; whether there was one."""
+    files, at = _files(spark, path)
+    return bool(files.delete(at, True))
+
+
+def to_append_lines(log: DataFrame) -> DataFrame:
+    """A column line in the older format for each row (key, value, content_type, deleted)."""
+    fields = F.struct(F.col("key").alias("Key"), F.base64(F.col("value").cast("binary")).alias("Data"), F.coalesce("content_type", F.lit("")).alias("ContentType"), F.col("deleted").alias("Deleted"))
+    return log.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("line"))
+
+
+def write_append_log(log: DataFrame, path: str) -> None:
+    """Append rows (key, value, content_type, deleted) to a log of the older format."""
+    to_append_lines(log).write.mode("append").text(path)
+
+
+def from_append_lines(lines: DataFrame) -> DataFrame:
+    """Rows (key, value, content_type, deleted, bad) of a column line of the older format."""
+    got = F.from_json("line", APPEND_LINE, {"columnNameOfCorruptRecord": "_bad"}).alias("e")
+    return lines.select(got).select(F.col("e.Key").alias("key"), F.unbase64("e.Data").alias("value"), F.col("e.ContentType").alias("content_type"), F.col("e.Deleted").alias("deleted"), F.col("e._bad").alias("bad"))
+
+
+def read_append_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entries of a log of the older format, and the lines that couldn't be read; a log that isn't there is empty."""
+    files, at = _files(spark, path)
+    lines = spark.read.text(path).withColumnRenamed("value", "line") if files.exists(at) else spark.createDataFrame([], "line string")
+    rows = from_append_lines(lines)
+    return rows.where("bad is null").drop("bad"), rows.where("bad is not null").select("bad")
 
 
 def replayable(log: DataFrame, high_water: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,11 +17,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def into_table(stream: DataFrame, table: LogTable, checkpoint: str, **trigger) -> StreamingQuery:
-    """Each micro-batch becomes a level 0 segment, and merges that are due run; a batch seen again changes nothing."""
+    """Each micro-batch becomes a level 0 segment, and merges that are due run; a batch seen again changes nothing.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        table.apply(batch)
-        table.run_due()
+    How many rows a flush takes is up to the source (maxFilesPerTrigger and the like), how often to the trigger."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if table.apply(batch, checkpoint, number):
+            table.run_due()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -33,15 +36,13 @@ class _Counter(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq")
-        n, out = self.next.get()[0] if self.next.exists() else 0, []
-        for seq, deleted in zip(batch["seq"], batch["deleted"]):
-            if deleted:
-                n = 0
-            else:
-                out.append((key[0], seq, n))
-                n = (n + 1) % (1 << 32)
-        self.next.update((n,))
-        yield pd.DataFrame(out, columns=["key", "seq", "n"])
+        before, deleted = self.next.get()[0] if self.next.exists() else 0, batch["deleted"].to_numpy(bool)
+        # increments up to a row, less those up to the last delete before it
+        so_far = np.cumsum(~deleted)
+        n = so_far - np.maximum.accumulate(np.where(deleted, so_far, -before))
+        self.next.update((int(n[-1] % (1 << 32)),))
+        out = batch.loc[~deleted, ["seq"]].assign(key=key[0], n=(n[~deleted] - 1) % (1 << 32))
+        yield out[["key", "seq", "n"]]
 
     def close(self) -> None:
         pass

@@ -1,5 +1,8 @@
 """Tables of segments, codecs, filters and log lines, on the fixtures of the survey."""
 
+import bisect
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,16 +53,97 @@ def test_lifecycle(spark, tmp_path):
     assert table.log().isEmpty() and table.due() == []
 
 
-def test_batches_apply_once(spark, tmp_path):
+def test_batches_apply_once_in_any_order(spark, tmp_path):
     table = LogTable(spark, f"file://{tmp_path}/t", Settings(segments_of_level=1))
-    batch = spark.range(1, 11).select((F.col("id") % 3).cast("string").alias("key"), F.col("id").alias("seq"), F.current_timestamp().alias("ts"), F.lit(None).cast("binary").alias("value"), F.lit(None).cast("string").alias("content_type"), F.lit(False).alias("deleted"))
-    table.apply(batch)
-    table.apply(batch)
-    assert table.log().count() == 3 and table.high_water() == 10 and table.due() == []
-    table.apply(batch.withColumn("seq", F.col("seq") + 10))
-    assert table.due() == [0]
+    rows = spark.range(0, 1000).select(F.col("id").cast("string").alias("key"), F.col("id").alias("seq"), F.current_timestamp().alias("ts"), F.lit(None).cast("binary").alias("value"), F.lit(None).cast("string").alias("content_type"), F.lit(False).alias("deleted"))
+    late, early = rows.where("seq >= 500"), rows.where("seq < 500")
+    assert table.apply(late, "a", 0) and table.apply(early, "a", 1) and table.snapshot().count() == 1000
+    assert not table.apply(late, "a", 1) and not table.apply(early, "a", 0) and len(table.manifest.read()) == 2
+    assert table.high_water() == 999 and table.due() == [0]
+    table.apply(rows.where("false"))
+    folders = [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("segment-") and "." not in p.name]
+    assert len(folders) == 2  # an empty batch leaves nothing
     table.run_due()
-    assert table.highest_level() == 1
+    assert table.highest_level() == 1 and table.snapshot().count() == 1000
+    was = table.manifest.state()
+    table.manifest.publish(was, [])
+    with pytest.raises(RuntimeError):
+        table.manifest.publish(was, [])
+
+
+def test_lookups_read_few_segments(spark, tmp_path):
+    table = LogTable(spark, f"file://{tmp_path}/t", Settings(keys_of_block=8, keys_of_segment=99))
+    table.load(spark.range(2000).select(F.format_string("k%05d", F.col("id") * 7).alias("key"), F.col("id").alias("seq"), F.current_timestamp().alias("ts"), F.col("id").cast("string").cast("binary").alias("value"), F.lit("t").alias("content_type"), (F.col("id") % 10 == 3).alias("deleted"), (F.col("id") % 20).alias("file_no")))
+    assert len(table.manifest.read()) == 20
+    keys = [f"k{i:05d}" for i in (0, 7, 21, 35, 1, 13993, 20000)]
+    assert [table.get(k) for k in keys] == [b"0", b"1", None, b"5", None, b"1999", None]
+    read = sum(len(of) for of in table.maybe([f"k{7 * i:05d}" for i in range(0, 2000, 20)]).values())
+    assert 100 <= read <= 100 * (1 + 20 / 50)  # one each, and few for nothing
+    table.merge(0)
+    sizes = [s["entries"] for s in table.manifest.read()]
+    assert len(sizes) == 20 and sum(sizes) == 1800 and [table.get(k) for k in keys] == [b"0", b"1", None, b"5", None, b"1999", None]
+    assert table.sparse_index().agg(F.sum("entries")).first()[0] == 1800 and table.vacuum() == 1
+
+
+@pytest.fixture
+def sixteen(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_places_of_many_keys(sixteen):
+    """Places, offsets, blocks and floors of 100,000 keys are those of a sorted list."""
+    keys = sorted(str(i * 7919) for i in range(100_000))
+    rows = sixteen.range(100_000).select((F.col("id") * 7919).cast("string").alias("key"))
+    got = changelog.placed(rows, F.length("key").cast("long") + 9).toPandas().sort_values("place")
+    assert got["key"].tolist() == keys and got["place"].tolist() == list(range(100_000))
+    assert got["byte_offset"].tolist() == [0, *itertools.accumulate(len(k) + 9 for k in keys)][:-1]
+    anchors = keys[5::10]
+    probes = sixteen.range(20_000).select((F.col("id") * 31337 % 9_999_991).cast("string").alias("probe"))
+    found = changelog.floor_lookup(probes, sixteen.createDataFrame([(k,) for k in anchors], "key string")).collect()
+    assert len(found) == 20_000
+    for r in found:
+        at = bisect.bisect_right(anchors, r.probe) - 1
+        assert (r.pos, r.key) == (at, anchors[at] if at >= 0 else None)
+
+
+def test_hot_counter_over_many_tasks(sixteen):
+    """One key has nearly all rows; its count goes on from range to range and restarts after a delete."""
+    log = sixteen.range(200_000).select(F.when(F.col("id") % 50 == 0, F.concat(F.lit("k"), (F.col("id") % 300).cast("string"))).otherwise("hot").alias("key"), F.col("id").alias("seq"), F.col("id").isin(77_777, 150_001, 150_002).alias("deleted"))
+    parts = changelog.ranged(log, "key", "seq")
+    assert parts.where("key = 'hot'").select("part").distinct().count() > 8
+    got, n = {(r.key, r.seq): r.n for r in changelog.counters(log).collect()}, {}
+    for r in sorted(log.collect(), key=lambda r: r.seq):
+        if r.deleted:
+            n[r.key] = 0
+        else:
+            assert got.pop((r.key, r.seq)) == n.get(r.key, 0)
+            n[r.key] = n.get(r.key, 0) + 1
+    assert not got
+    states = log.withColumn("state", F.when(F.col("seq") % 70_000 == 1, F.col("seq")))
+    last: dict = {}
+    known = {r.seq: r.before for r in changelog.state_before(states, "key", "seq", "state").collect()}
+    for r in sorted(states.collect(), key=lambda r: r.seq):
+        assert known[r.seq] == last.get(r.key)
+        last[r.key] = r.state if r.state is not None else last.get(r.key)
+
+
+def test_append_log(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    assert wal.read_append_log(spark, path)[0].isEmpty()
+    wal.write_append_log(spark.createDataFrame([("/kv/a", b"1", "text/plain", False), ("/kv/b", None, None, True)], "key string, value binary, content_type string, deleted boolean"), path)
+    (tmp_path / "store" / "bad.txt").write_text("{no line")
+    good, bad = wal.read_append_log(spark, path)
+    assert sorted((r.key, r.value and bytes(r.value), r.content_type, r.deleted) for r in good.collect()) == [("/kv/a", b"1", "text/plain", False), ("/kv/b", None, "", True)] and bad.count() == 1
+    assert wal.reset(spark, path) and not wal.reset(spark, path) and wal.read_append_log(spark, path)[0].isEmpty()
+
+
+def test_filters_of_two_sizes_are_not_united(spark):
+    keys = spark.range(5).select(F.col("id").cast("string").alias("key"))
+    with pytest.raises(ValueError):
+        bloom.union(bloom.build(keys, 4, 2), bloom.build(keys, 8, 2), words=(4, 8))
 
 
 def test_codecs(spark):
