@@ -65,6 +65,8 @@ def _rare_filter(docs: DataFrame, min_docs: int, long_docs: int) -> np.ndarray:
             for kind, found in enumerate(codes):
                 hashes, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(n), kind, np.int32)), pa.array(n)], names=["code", "kind", "n"])
+            del codes
+            common.trim()
 
     bit = F.pmod(F.col("code"), F.lit(FILTER_BITS))
     enough = docs.select("text").mapInArrow(rows, "code long, kind int, n long").groupBy("code", "kind").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("kind") == 0, min_docs).otherwise(long_docs))
@@ -104,6 +106,8 @@ def _lines(docs: DataFrame, common_codes: np.ndarray) -> DataFrame:
                 out += [(doc_id, key, leaf, xxhash.xxh3_128_digest(tokens.encode()), tokens if whole else None, equal, places) for (leaf, tokens, whole, equal), places in mine.items()]
             columns = list(zip(*out)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
+            del out, columns
+            common.trim()
 
     return common.stored(docs.mapInArrow(rows, "doc_id long, text_hash long, leaf long, line binary, tokens string, equal boolean, places array<int>"))
 

@@ -108,6 +108,8 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             ], names=["doc_id", "text_hash", "uid", "n_shingles", "digest", "signature"])
             made += n
+            del sets
+            common.trim()
 
     keyed = common.id_text(docs).withColumn("text_hash", F.xxhash64("text"))
     return common.stored(keyed.mapInArrow(rows, "doc_id long, text_hash long, uid long, n_shingles long, digest binary, signature binary"))
@@ -188,6 +190,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 keep.append(100 * both >= similarity * (len(p) + len(q) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+            common.trim()
 
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}"))
     return common.stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(rows, "a long, b long"))

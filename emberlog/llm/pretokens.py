@@ -200,3 +200,9 @@ def unit_cache(path: str, dtype="<u4") -> UnitCache:
 
         _LOADED[path, dtype] = UnitCache(Tokenizer.from_file(path), dtype)
     return _LOADED[path, dtype]
+
+
+def forget() -> None:
+    """Drop the units that this worker's caches hold; stages that don't use them call this."""
+    for cache in _LOADED.values():
+        cache.known = {}

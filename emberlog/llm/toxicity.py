@@ -370,6 +370,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pretokens.forget()
         for b in batches:
             texts = pc.fill_null(b.column(b.schema.get_field_index("text")), "")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(texts), pa.float64())], names=[*b.schema.names, "score"])
