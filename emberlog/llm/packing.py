@@ -74,6 +74,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
             columns = list(zip(*out)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+            del flat, begins, out, columns
+            common.trim()
 
     return common.stored(common.id_text(docs).mapInArrow(rows, PIECES))
 

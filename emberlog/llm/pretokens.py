@@ -115,15 +115,18 @@ def numbered_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 class UnitCache:
     """Ids of texts by a tokenizer that sees each distinct unit once, but for a bounded memory.
 
+    Known units are in two generations: when the young one is full it becomes the old one, whose units that
+    come up again are young again, and those that don't are forgotten with it.
+
     New units go to the tokenizer JOINED at a time. Where it keeps white space, a unit's ids begin at the one
     token that begins with a space; where it drops it, a mark stands between units. A joined text whose
     beginnings or marks aren't as many as its units is encoded unit by unit."""
 
-    #: Units in a joined text; joined texts in a call; the mark between units, which must give one id.
-    JOINED, TEXTS, MARK = 256, 80, "~"
+    #: Units in a joined text; joined texts in a call; the mark between units, which must give one id; bytes of text cut at a time.
+    JOINED, TEXTS, MARK, SLICE = 256, 80, "~", 2 << 20
 
-    def __init__(self, tokenizer, dtype, most=1_000_000):
-        self.tokenizer, self.dtype, self.most, self.known = tokenizer, np.dtype(dtype), most, {}
+    def __init__(self, tokenizer, dtype, most=600_000):
+        self.tokenizer, self.dtype, self.most, self.known, self.old = tokenizer, np.dtype(dtype), most, {}, {}
         self.drops = not self._encode([" \n\t"])[0]
         self.mark = self._encode([self.MARK])[0]
         self.opens = np.zeros(tokenizer.get_vocab_size(), bool)
@@ -165,9 +168,13 @@ class UnitCache:
             self.known.update((u, np.asarray(ids, self.dtype).tobytes()) for u, ids in zip(part, self._encode([*map(surface, part)])))
 
     def _ids(self, units: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known = {}
+        if len(self.known) > self.most // 2:
+            self.known, self.old = {}, self.known
         ids = [*map(self.known.get, units)]
+        if self.old:
+            again = {u: x for u in (units[k] for k, x in enumerate(ids) if x is None) if (x := self.old.get(u)) is not None}
+            self.known.update(again)
+            ids = [again.get(u) if x is None else x for u, x in zip(units, ids)]
         fresh = [k for k, x in enumerate(ids) if x is None]
         self._learn([units[k] for k in fresh])
         for k in fresh:
@@ -176,6 +183,17 @@ class UnitCache:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text begins among these."""
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+        # some MB of texts are cut at a time (a text isn't split): what stands beside the ids stays small
+        cuts = [0, *(np.flatnonzero(np.diff(ends // self.SLICE)) + 1).tolist(), len(texts)]
+        parts = [self._encoded(texts.slice(a, e - a)) for a, e in zip(cuts, cuts[1:])]
+        if len(parts) == 1:
+            return parts[0]
+        before = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+        begins = [b[:-1] + n for (_, b), n in zip(parts, before.tolist())]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([*begins, before[-1:]])
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         units, codes, offsets = (numbered_words if self.drops else numbered_units)(texts)
         # numbers that only texts cut anew had are not used any more
         used = np.flatnonzero(np.bincount(codes, minlength=len(units)))
@@ -205,4 +223,4 @@ def unit_cache(path: str, dtype="<u4") -> UnitCache:
 def forget() -> None:
     """Drop the units that this worker's caches hold; stages that don't use them call this."""
     for cache in _LOADED.values():
-        cache.known = {}
+        cache.known, cache.old = {}, {}
