@@ -53,14 +53,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.asarray(used, np.int64)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, lean: bool = False) -> DataFrame:
     """The documents' ids with end_id, cut at ``capacity`` where longer: a stored row for each piece."""
     common.bounded_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part, made = pretokens.unit_cache(tokenizer), TaskContext.get().partitionId(), 0
+        cache, part, made = pretokens.unit_cache(tokenizer, lean=lean), TaskContext.get().partitionId(), 0
         for b in batches:
             flat, begins = cache.encode(b.column("text"))
             out = []
@@ -75,7 +75,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
             del flat, begins, out, columns
-            common.trim()
+            if lean:
+                common.trim()
 
     return common.stored(common.id_text(docs).mapInArrow(rows, PIECES))
 
@@ -95,13 +96,14 @@ def _round(items: DataFrame, capacity: int, level: int, groups: int, enough: int
     return grouped.groupBy("grp").applyInPandas(one, "uid long, bin long, offset long, used long, open boolean")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nearly_full: float = 0.998) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nearly_full: float = 0.998, lean: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     A null or empty text is a piece of the end id alone; rows with equal or null doc_id are packed each by
     itself; other columns aren't read; an empty table gives no rows. Sequences are numbered, not hashed: no two share an
-    id. Results of equal runs may number the sequences differently, but never put two pieces at one place."""
-    pieces = token_pieces(docs, tokenizer, capacity, end_id)
+    id. Results of equal runs may number the sequences differently, but never put two pieces at one place.
+    ``lean`` takes less memory of the workers and more time, for the same pieces."""
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, lean)
     enough = max(1, int(capacity * nearly_full))
     full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     items, rounds = rest.select("uid", "length"), []

@@ -122,11 +122,14 @@ class UnitCache:
     token that begins with a space; where it drops it, a mark stands between units. A joined text whose
     beginnings or marks aren't as many as its units is encoded unit by unit."""
 
-    #: Units in a joined text; joined texts in a call; the mark between units, which must give one id; bytes of text cut at a time.
-    JOINED, TEXTS, MARK, SLICE = 256, 80, "~", 2 << 20
-
-    def __init__(self, tokenizer, dtype, most=600_000):
-        self.tokenizer, self.dtype, self.most, self.known, self.old = tokenizer, np.dtype(dtype), most, {}, {}
+    #: Units in a joined text; joined texts in a call; the mark between units, which must give one id.
+    JOINED, TEXTS, MARK = 256, 80, "~"
+    #: Units that both generations hold about, and bytes of text cut at a time; so too for a lean cache, which takes less memory and more time.
+    MOST, SLICE, LEAN = 1_500_000, 16 << 20, (600_000, 2 << 20)
+
+    def __init__(self, tokenizer, dtype, most: int | None = None, cut: int | None = None):
+        self.tokenizer, self.dtype, self.known, self.old = tokenizer, np.dtype(dtype), {}, {}
+        self.most, self.cut = most or self.MOST, cut or self.SLICE
         self.drops = not self._encode([" \n\t"])[0]
         self.mark = self._encode([self.MARK])[0]
         self.opens = np.zeros(tokenizer.get_vocab_size(), bool)
@@ -185,7 +188,7 @@ class UnitCache:
         """Ids of all texts, one after the other, and where each text begins among these."""
         ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
         # some MB of texts are cut at a time (a text isn't split): what stands beside the ids stays small
-        cuts = [0, *(np.flatnonzero(np.diff(ends // self.SLICE)) + 1).tolist(), len(texts)]
+        cuts = [0, *(np.flatnonzero(np.diff(ends // self.cut)) + 1).tolist(), len(texts)]
         parts = [self._encoded(texts.slice(a, e - a)) for a, e in zip(cuts, cuts[1:])]
         if len(parts) == 1:
             return parts[0]
@@ -210,14 +213,14 @@ class UnitCache:
 _LOADED: dict = {}
 
 
-def unit_cache(path: str, dtype="<u4") -> UnitCache:
+def unit_cache(path: str, dtype="<u4", lean: bool = False) -> UnitCache:
     """The cache over tokenizers' tokenizer at ``path``; one for each worker process."""
-    if (path, dtype) not in _LOADED:
+    if (path, dtype, lean) not in _LOADED:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _LOADED[path, dtype] = UnitCache(Tokenizer.from_file(path), dtype)
-    return _LOADED[path, dtype]
+        _LOADED[path, dtype, lean] = UnitCache(Tokenizer.from_file(path), dtype, *(UnitCache.LEAN if lean else ()))
+    return _LOADED[path, dtype, lean]
 
 
 def forget() -> None:

@@ -68,11 +68,10 @@ def test_units_give_the_library_s_ids():
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_units_forgotten_and_cut_in_slices(path, monkeypatch):
+def test_units_forgotten_and_cut_in_slices(path):
     rng = np.random.default_rng(5)
     texts = [""] + [" ".join(f"w{n}" for n in rng.zipf(1.3, rng.integers(0, 40)) % 500) for _ in range(400)] + ["long " * 500, ""]
-    monkeypatch.setattr(pretokens.UnitCache, "SLICE", 300)
-    cache = pretokens.UnitCache(Tokenizer.from_file(path), "<u4", most=60)
+    cache = pretokens.UnitCache(Tokenizer.from_file(path), "<u4", most=60, cut=300)
     whole = [w.ids for w in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
         ids, begins = cache.encode(pa.array(texts))
