@@ -32,8 +32,8 @@ def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of the documents in sequences of 2048 tokens; the workers still hold some memory of earlier stages, so lean."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), lean=True)
 
 
 STAGES = [("toxicity", toxic_out), ("quality", poor_out), ("line_dedup", lines_out), ("near_dedup", near_out), ("packing", packed)]
