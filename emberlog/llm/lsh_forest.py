@@ -303,7 +303,8 @@ def _sets(docs: DataFrame, signed: DataFrame, needed: DataFrame, width: int) ->
             yield pa.RecordBatch.from_arrays([b.column("rep").filter(keep), pa.array(sets, pa.binary()).filter(keep)], names=["rep", "set"])
 
     texts = common.id_text(docs).withColumn("text_hash", F.xxhash64("text")).select(*key, "text", F.monotonically_increasing_id().alias("_any"))
-    got = common.spread_join(texts, wanted, ["id", "no_id", "hash"], "rows", ["_any"]).select("rep", "want", "text").mapInArrow(rows, "rep long, set binary")
+    # a join by shuffle would move every text, most of which have no candidate
+    got = common.spread_join(common.sieved(texts, wanted, "hash"), wanted, ["id", "no_id", "hash"], "rows", ["_any"]).select("rep", "want", "text").mapInArrow(rows, "rep long, set binary")
     return common.stored(got.groupBy("rep").agg(F.first("set").alias("set")))
 
 

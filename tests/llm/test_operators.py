@@ -220,6 +220,31 @@ def test_near_duplicates_whatever_the_partitions(spark, docs, monkeypatch):
     assert lsh_forest.keep_one(df, 4).where("doc_id is null").count() == 300
 
 
+def test_near_duplicates_move_few_texts(spark, monkeypatch):
+    """Only texts that have candidates are joined with these, not all of the table."""
+    rng, moved = np.random.default_rng(6), []
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(5000)], 60)) for _ in range(600)]
+    table = list(enumerate([*texts, *(f"{t} more" for t in texts[:20])])) + [(None, texts[3]), (None, None), (700, texts[20]), (700, texts[20])]
+    plain = common.spread_join
+    monkeypatch.setattr(common, "spread_join", lambda big, *a: (moved.append(big.count()) if "text" in big.columns else None) or plain(big, *a))
+    got = lsh_forest.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), 4).collect()
+    assert len(got) == len(table) and {r.doc_id: r.component_id for r in got} == {d: d - 600 if d and 600 <= d < 620 else 20 if d == 700 else d for d, _ in table}
+    assert moved and 40 <= moved[0] <= 100
+
+
+def test_sieve(spark, monkeypatch):
+    """No row of a key is lost, whatever its size; few others pass where it isn't full."""
+    big = spark.range(-3000, 3000).select(F.xxhash64("id").alias("hash"), "id").unionByName(spark.sql("select cast(null as long) hash, 9999L id"))
+    keys = big.where("id >= 0 and id < 2000 or id = 9999").select("hash")
+    for bits, parts, most in ((16, 1024, 200), (16, 1, 200), (1 << 20, 1024, 20), (1, 1, 4000)):
+        monkeypatch.setattr(common, "SIEVE_BITS", bits)
+        monkeypatch.setattr(common, "SIEVE_PARTS", parts)
+        monkeypatch.setattr(common, "SIEVE_WORDS", 1024 if bits > 1 else 2)
+        got = {r.id for r in common.sieved(big, keys, "hash").collect()}
+        assert set(range(2000)) <= got and 9999 not in got and len(got) - 2000 <= most
+    assert common.sieved(big, keys.limit(0), "hash").isEmpty()
+
+
 def test_columns_of_any_name(spark):
     """Stages keep columns whose names are those of their own."""
     names = ["drop", "gone_id", "gone_hash", "gone_crc", "gone_text_hash", "_id", "_hot", "rows", "score", "bin", "a.b"]
