@@ -56,7 +56,8 @@ def union(a: DataFrame, b: DataFrame, words: tuple[int, int] | None = None) -> D
 
 
 def estimate(filter_: DataFrame, words: int, lookups: int) -> DataFrame:
-    """(bits_set, keys): how many keys the filter holds, about."""
+    """(bits_set, keys): how many keys the filter holds, about; keys is null if all bits are set, which tells no number."""
     set_ = F.sum(F.bit_count("bits")).cast("long")
     m = 64 * words
-    return filter_.agg(set_.alias("bits_set")).select("bits_set", F.round(F.lit(m / lookups) * F.log(F.lit(float(m)) / (F.lit(m) - F.col("bits_set")))).cast("long").alias("keys"))
+    unset = F.nullif(F.lit(m) - F.col("bits_set"), F.lit(0))
+    return filter_.agg(set_.alias("bits_set")).select("bits_set", F.round(F.lit(m / lookups) * F.log(F.lit(float(m)) / unset)).cast("long").alias("keys"))

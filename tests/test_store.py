@@ -155,6 +155,14 @@ def test_codecs(spark):
     assert bytes(row.b) == b"\x05\x01\x00\x00" and row.n == 5 and row.bad is None
 
 
+def test_estimate_of_full_filter(spark):
+    """A full filter tells no number of keys, and is no error."""
+    keys = spark.range(2000).select(F.col("id").cast("string").alias("key"))
+    assert bloom.estimate(bloom.build(keys, 4, 8), 4, 8).collect() == [(256, None)]
+    few = bloom.estimate(bloom.build(keys.where("key < 5"), 1024, 8), 1024, 8).first()
+    assert abs(few.keys - keys.where("key < 5").count()) <= 1
+
+
 @pytest.mark.parametrize("p", [2, 16, 128])
 def test_filters_have_no_false_negatives(spark, p):
     words, lookups = bloom.size_for(500, p)
