@@ -85,6 +85,33 @@ def test_lookups_read_few_segments(spark, tmp_path):
     assert table.sparse_index().agg(F.sum("entries")).first()[0] == 1800 and table.vacuum() == 1
 
 
+def many_segments(spark, path: str) -> LogTable:
+    """300 segments of 40 keys each, of 1000 keys in all; one in seven rows is a tombstone."""
+    table = LogTable(spark, path, Settings(keys_of_block=8, keys_of_segment=99))
+    key = F.format_string("k%04d", F.col("id") * 7 % 1000)
+    table.load(spark.range(12_000).select(key.alias("key"), F.col("id").alias("seq"), F.current_timestamp().alias("ts"), F.col("id").cast("string").cast("binary").alias("value"), F.lit("t").alias("content_type"), (F.col("id") % 7 == 3).alias("deleted"), F.expr("id div 40").alias("file_no")))
+    return table
+
+
+def held_by_many(keys: list[str]) -> dict:
+    last = {f"k{i * 7 % 1000:04d}": i for i in range(12_000)}
+    return {k: str(last[k]).encode() if k in last and last[k] % 7 != 3 else None for k in keys}
+
+
+def test_lookups_of_many_keys_are_one(spark, tmp_path):
+    """Jobs don't go by the number of keys."""
+    table = many_segments(spark, f"file://{tmp_path}/t")
+    jobs = {}
+    for n in (2, 40):
+        keys = [f"k{i * 25:04d}" for i in range(n)] + ["none", "k0001x"]
+        spark.sparkContext.setJobGroup(f"lookup-{n}", "")
+        got = table.get_all(keys)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lookup-{n}"))
+        assert got == held_by_many(keys)
+    assert 0 < jobs[40] <= jobs[2] + 2
+
+
 @pytest.fixture
 def sixteen(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
