@@ -98,6 +98,20 @@ def held_by_many(keys: list[str]) -> dict:
     return {k: str(last[k]).encode() if k in last and last[k] % 7 != 3 else None for k in keys}
 
 
+def test_files_go_by_bytes_not_by_segments(spark, tmp_path):
+    table = many_segments(spark, f"file://{tmp_path}/t")
+    assert len(table.manifest.read()) == 300
+    files = lambda: len([p for p in (tmp_path / "t").rglob("*.parquet")])
+    assert files() <= 3 * 8  # data, index and filters, a few tasks each
+    some = [s for s in table.manifest.read() if s["file"] % 2 or s["file"] > 200]
+    assert {r.file_no for r in table._read(some).select("file_no").distinct().collect()} == {s["file"] for s in some}
+    table.merge(0)
+    assert len(table.manifest.read()) == 10 and table.vacuum() == 1 and files() <= 3 * 8
+    table.compact(1)
+    got = {r.key: bytes(r.value) for r in table.snapshot().collect()}
+    assert got == {k: v for k, v in held_by_many([f"k{i:04d}" for i in range(1000)]).items() if v is not None}
+
+
 def test_lookups_of_many_keys_are_one(spark, tmp_path):
     """Jobs don't go by the number of keys."""
     table = many_segments(spark, f"file://{tmp_path}/t")
