@@ -126,6 +126,18 @@ def test_lookups_of_many_keys_are_one(spark, tmp_path):
     assert 0 < jobs[40] <= jobs[2] + 2
 
 
+def test_filters_are_not_collected(spark, tmp_path, monkeypatch):
+    """Of the Bloom filters of 300 segments the driver gets which passed, not their words."""
+    table, kind, rows = many_segments(spark, f"file://{tmp_path}/t"), type(spark.range(1)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: rows.append(len(out := collect(self))) or out)
+    keys = [f"k{i * 50:04d}" for i in range(20)]
+    near = table.maybe(keys)
+    holding = {k: {i // 40 for i in range(12_000) if f"k{i * 7 % 1000:04d}" == k} for k in keys}
+    assert all({s["file"] for s in near[k]} >= holding[k] for k in keys)
+    assert max(rows) < 1.5 * sum(len(of) for of in holding.values())
+
+
 @pytest.fixture
 def sixteen(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
