@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -29,25 +31,36 @@ def into_table(stream: DataFrame, table: LogTable, checkpoint: str, **trigger) -
 
 
 class _Counter(StatefulProcessor):
-    """The next count of a key; a delete clears it."""
+    """The next counts of the keys of a bucket, read and written at once; a delete clears a key's."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "n long")
+        self.next = handle.getValueState("next", "counts string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq")
-        before, deleted = self.next.get()[0] if self.next.exists() else 0, batch["deleted"].to_numpy(bool)
-        # increments up to a row, less those up to the last delete before it
-        so_far = np.cumsum(~deleted)
-        n = so_far - np.maximum.accumulate(np.where(deleted, so_far, -before))
-        self.next.update((int(n[-1] % (1 << 32)),))
-        out = batch.loc[~deleted, ["seq"]].assign(key=key[0], n=(n[~deleted] - 1) % (1 << 32))
-        yield out[["key", "seq", "n"]]
+        batch = pd.concat(list(rows), ignore_index=True)
+        counts = dict(json.loads(self.next.get()[0])) if self.next.exists() else {}
+        codes, keys = pd.factorize(batch["key"], use_na_sentinel=False)
+        keys = [None if pd.isna(k) else k for k in keys]
+        order = np.lexsort((batch["seq"], codes))
+        batch, codes = batch.iloc[order], codes[order]
+        deleted, before = batch["deleted"].to_numpy(bool), np.array([counts.get(k, 0) for k in keys])
+        # increments up to a row, less those up to the last delete of its key, or to the key's begin
+        so_far, begins = np.cumsum(~deleted), np.diff(codes, prepend=-1) != 0
+        since = np.maximum.accumulate(np.where(deleted | begins, np.arange(len(codes)), 0))
+        n = so_far - np.where(deleted, so_far, so_far - 1 - before[codes])[since]
+        ends = np.flatnonzero(np.diff(codes, append=-1))
+        counts.update(zip((keys[c] for c in codes[ends]), (n[ends] % (1 << 32)).tolist()))
+        self.next.update((json.dumps([x for x in counts.items() if x[1]]),))
+        yield batch.loc[~deleted, ["key", "seq"]].assign(n=(n[~deleted] - 1) % (1 << 32))
 
     def close(self) -> None:
         pass
 
 
-def counters(stream: DataFrame) -> DataFrame:
-    """(key, seq, n) of every increment of a stream (key, seq, deleted); needs the RocksDB state store."""
-    return stream.select("key", "seq", "deleted").groupBy("key").transformWithStateInPandas(_Counter(), "key string, seq long, n long", "append", "none")
+def counters(stream: DataFrame, buckets: int = 1024) -> DataFrame:
+    """(key, seq, n) of every increment of a stream (key, seq, deleted); needs the RocksDB state store.
+
+    Keys are dealt over buckets, each with one state, since a call for each key costs far more than its rows. A task holds
+    a bucket's new rows and counts, so more keys want more buckets; with a checkpoint their number must stay."""
+    dealt = stream.select("key", "seq", "deleted", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(_Counter(), "key string, seq long, n long", "append", "none")

@@ -10,6 +10,7 @@ from emberlog.functions import bloom, codec
 from emberlog.operators import changelog
 from emberlog.operators.segments import LogTable, Settings
 from emberlog.sources import wal
+from emberlog.streaming import ingest
 
 A = {"18": "MTYzOTEwMTYwOTUxNzc4NjMwNA==", "81": "MTYzOTEwMTYwOTUxNzc3NjE2Mw=="}
 B = {"0": "zero", "11": "eleven", "25": None, "56": "x", "62": "y", "89": "z", "94": "w"}
@@ -138,6 +139,29 @@ def test_filters_are_not_collected(spark, tmp_path, monkeypatch):
     assert max(rows) < 1.5 * sum(len(of) for of in holding.values())
 
 
+def test_stream_counters_share_states(spark, tmp_path):
+    """Counts go on from batch to batch, null keys too, with a state for each bucket, not for each key."""
+    key = F.when(F.col("id") % 11 != 5, F.concat(F.lit("k"), F.col("id") % 2000))
+    log = spark.range(9000).select(key.alias("key"), F.col("id").alias("seq"), (F.col("id") % 13 == 7).alias("deleted"))
+    for part in range(3):  # a batch each
+        log.where(F.col("seq").between(part * 3000, part * 3000 + 2999)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        run = ingest.counters(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert len([p for p in run.recentProgress if p["numInputRows"]]) == 3
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+    got, n = {r.seq: (r.key, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}, {}
+    for r in sorted(log.collect(), key=lambda r: r.seq):
+        if not r.deleted:
+            assert got.pop(r.seq) == (r.key, n.get(r.key, 0))
+        n[r.key] = 0 if r.deleted else n.get(r.key, 0) + 1
+    assert not got
+
+
 @pytest.fixture
 def sixteen(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
